@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mezon.llm import splitting
+from mezon.llm import language, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -13,6 +13,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame
     return df.select(*cols) if cols else df
 
 
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "uzdoc", "uzdoc_id", "lang_label", "uz_text")
+    return language.detect(df, "uzdoc_id", "uz_text", "lang_label", language.train(df, "uz_text", "lang_label"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = F.col("label_lang").isNull() | (F.col("n_langs") > 1) | (F.col("label_lang") != F.col("lang"))
+    return p2_segments(spark, sf_dir).where(wrong).select("uzdoc_id", "seg_no", "lang")
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(_table(spark, sf_dir, "benchmark", "id", "en_text"), "id", "en_text")
 
@@ -22,6 +32,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
 }
