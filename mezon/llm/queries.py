@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mezon.llm import language, splitting
+from mezon.llm import language, leakage, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -31,11 +31,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("n_pieces > 1").select("id").distinct()
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "refset", "id", "en_text", "uz_text")
+    return leakage.leaks(docs, "doc_id", "text", items, "id", ["en_text", "uz_text"])
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_segments": p2_segments,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p8_found": p8_found,
 }
 
 _SPACE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+"
