@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mezon.llm import language, leakage, splitting
+from mezon.llm import bitext, language, leakage, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -13,6 +13,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame
     return df.select(*cols) if cols else df
 
 
+def p1_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "bidoc", "bidoc_id", "en_text", "uz_text")
+    items = _table(spark, sf_dir, "refset").select(F.col("en_text").alias("en"), F.col("uz_text").alias("uz"))
+    return bitext.align_sentences(docs, "bidoc_id", "en_text", "uz_text", items)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_alignment(spark, sf_dir).select("bidoc_id", "en_no", "uz_no")
+
+
 def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "uzdoc", "uzdoc_id", "lang_label", "uz_text")
     return language.detect(df, "uzdoc_id", "uz_text", "lang_label", language.train(df, "uz_text", "lang_label"))
@@ -37,6 +47,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_alignment": p1_alignment,
     "p2_found": p2_found,
     "p2_segments": p2_segments,
     "p5_found": p5_found,
