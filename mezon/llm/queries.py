@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mezon.llm import bitext, language, leakage, splitting
+from mezon.llm import bitext, language, leakage, splitting, subjects
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -46,6 +46,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(docs, "doc_id", "text", items, "id", ["en_text", "uz_text"])
 
 
+def p9_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r[0] for r in _table(spark, sf_dir, "subject_area", "subject").where("subject IS NOT NULL").distinct().collect()]
+    docs, labels = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "doc_subject")
+    return subjects.classify(docs, "doc_id", "text", names, labels, "doc_id", "subject")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and summed shares by subject."""
+    return p9_subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("n_docs"), F.round(F.sum("share"), 6).alias("weight"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_alignment": p1_alignment,
@@ -54,6 +69,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 
 _SPACE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+"
