@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mezon.llm import bitext, language, leakage, splitting, subjects
+from mezon.llm import bitext, language, leakage, repetition, splitting, subjects
+from mezon.operators.exact_dedup import segment_id
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -33,6 +34,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_segments(spark, sf_dir).where(wrong).select("uzdoc_id", "seg_no", "lang")
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "candidate", "ord", "run_id", "system", "id", "uz_text")
+
+
+def _repetition_model(spark: SparkSession, sf_dir: str) -> repetition.Regression:
+    answers = _answers(spark, sf_dir).select("ord", "run_id", "system", segment_id(F.col("id")).alias("segment"), F.col("uz_text").alias("text"))
+    references = _table(spark, sf_dir, "refset").where("uz_text IS NOT NULL").select(segment_id(F.col("id")).alias("segment"), F.col("uz_text").alias("reference"))
+    counts = _table(spark, sf_dir, "chrf_flores", "run_id", "system", "degenerate")
+    return repetition.Regression.train(*repetition.labelled_rows(answers, references, counts))
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.measure(_answers(spark, sf_dir), "ord", "uz_text", _repetition_model(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = repetition.measure(_answers(spark, sf_dir), "ord", "uz_text", _repetition_model(spark, sf_dir), repetition.THRESHOLD)
+    return scored.where("repeated_share >= 0.5").select("ord")
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(_table(spark, sf_dir, "benchmark", "id", "en_text"), "id", "en_text")
 
@@ -66,6 +87,8 @@ QUERIES = {
     "p1_alignment": p1_alignment,
     "p2_found": p2_found,
     "p2_segments": p2_segments,
+    "p4_found": p4_found,
+    "p4_shares": p4_shares,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p8_found": p8_found,
