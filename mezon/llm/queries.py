@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mezon.llm import bitext, language, leakage, repetition, splitting, subjects
+from mezon.llm import bitext, language, leakage, packing, repetition, splitting, subjects
 from mezon.operators.exact_dedup import segment_id
 
 
@@ -62,6 +62,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("n_pieces > 1").select("id").distinct()
 
 
+def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "refset", "id", "en_text", "uz_text")
     return leakage.leaks(docs, "doc_id", "text", items, "id", ["en_text", "uz_text"])
@@ -91,6 +95,7 @@ QUERIES = {
     "p4_shares": p4_shares,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p7_sequences": p7_sequences,
     "p8_found": p8_found,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
