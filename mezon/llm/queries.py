@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mezon.llm import bitext, language, leakage, packing, repetition, splitting, subjects
+from mezon.llm import bitext, defects, language, leakage, packing, repetition, splitting, subjects
 from mezon.operators.exact_dedup import segment_id
 
 
@@ -62,6 +62,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("n_pieces > 1").select("id").distinct()
 
 
+def p6_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = _answers(spark, sf_dir).select(F.col("ord").alias("key"), segment_id(F.col("id")).alias("segment"), F.col("uz_text").alias("text"))
+    source = lambda name: _table(spark, sf_dir, name).select(segment_id(F.col("id")).alias("segment"), F.col("en_text").alias("source"))
+    texts = _table(spark, sf_dir, "uzdoc", "uzdoc_id", "lang_label", "uz_text")
+    model = language.train(texts, "uz_text", "lang_label")
+    return defects.defects(answers, source("benchmark").union(source("refset")), model).withColumnRenamed("key", "ord")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_labels(spark, sf_dir).where("rank = 1").select("ord", "defect")
+
+
 def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -95,6 +107,8 @@ QUERIES = {
     "p4_shares": p4_shares,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
+    "p6_labels": p6_labels,
     "p7_sequences": p7_sequences,
     "p8_found": p8_found,
     "p9_found": p9_found,
