@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mezon.plans import messages
+from mezon.plans import evaluation, messages
 
-MODULES = [messages]
+MODULES = [messages, evaluation]
 
 
 def queries() -> dict:
