@@ -79,7 +79,7 @@ def truncate(c: Column, n: int) -> Column:
 
 def fmt(c: Column, digits: int = 4) -> Column:
     """A number with fixed decimals, a dash for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c), F.lit("—"))
+    return F.when(c.isNull(), "—").otherwise(F.format_string(f"%.{digits}f", c))
 
 
 def html_escape(c: Column) -> Column:

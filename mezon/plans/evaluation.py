@@ -71,7 +71,7 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     """(system, id, score): mean over runs of the valid score of every message."""
     x = read(spark, d, "xcomet_qe").select("run_id", segment_id(F.col("id")).alias("id"), "system", "score").where("score IS NOT NULL")
     one = dedupe.last_score(x, ["run_id", "system", "id"], "score", F.col("score"))
-    return one.groupBy("system", "id").agg(F.round(F.avg("score"), 6).alias("score"))
+    return one.groupBy("system", "id").agg(F.round(F.avg("score"), 12).alias("score"))
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +118,7 @@ gates AS (SELECT run_id, system, id, section, category, uz = '' AS empty, uz <>
 g AS (SELECT *, NOT (empty OR copy_through OR cyrillic OR english_leak OR degenerate) AND coalesce(entity_keep, 1.0) >= 1.0 AS passed FROM gates)
 """
 S_SCORES = f"""WITH x AS (SELECT run_id, {S_SEG} AS id, system, max(score) AS score FROM xcomet_qe WHERE score IS NOT NULL GROUP BY ALL),
-scores AS (SELECT system, id, round(avg(score), 6) AS score FROM x GROUP BY ALL)"""
+scores AS (SELECT system, id, round(avg(score), 12) AS score FROM x GROUP BY ALL)"""
 S_SHARED = S_SCORES + ", shared AS (SELECT id FROM scores GROUP BY id HAVING count(DISTINCT system) = (SELECT count(DISTINCT system) FROM scores))"
 S_PAIRED = S_SCORES + f""",
 paired AS (SELECT a.system, a.id, a.score - b.score AS diff FROM scores a JOIN scores b ON a.id = b.id AND b.system = '{BASELINE}' WHERE a.system <> '{BASELINE}')"""
@@ -141,12 +141,12 @@ _RATES = ["empty", "copy_through", "cyrillic", "english_leak", "len_outlier", "d
 
 @query(
     S_GATES + "SELECT system, count(*) AS n, " + ", ".join(f"round(avg({r}::INT), 4) AS {r}" for r in _RATES)
-    + ", round(avg(entity_keep), 4) AS entity_keep, round(avg((entity_keep >= 1)::INT), 4) AS entity_perfect, round(avg(passed::INT), 4) AS pass_all, count(*) FILTER (empty) AS n_empty FROM g GROUP BY system"
+    + ", round(avg(entity_keep), 8) AS entity_keep, round(avg((entity_keep >= 1)::INT), 4) AS entity_perfect, round(avg(passed::INT), 4) AS pass_all, count(*) FILTER (empty) AS n_empty FROM g GROUP BY system"
 )
 def gate_summary(spark, d):
     rate = lambda c: F.round(F.avg(c.cast("double")), 4)
     return gated(spark, d).groupBy("system").agg(
-        F.count("*").alias("n"), *(rate(F.col(r)).alias(r) for r in _RATES), F.round(F.avg("entity_keep"), 4).alias("entity_keep"),
+        F.count("*").alias("n"), *(rate(F.col(r)).alias(r) for r in _RATES), F.round(F.avg("entity_keep"), 8).alias("entity_keep"),
         rate(F.col("entity_keep") >= 1).alias("entity_perfect"), rate(F.col("passed")).alias("pass_all"), F.count_if("empty").alias("n_empty"),
     )
 
@@ -169,14 +169,14 @@ for _n in ("english_leak", "degenerate", "copy_through", "cyrillic", "len_outlie
     _flagged(_n)
 
 
-@query(S_GATES + "SELECT system, round(avg(len_ratio), 4) AS len_ratio FROM g GROUP BY system")
+@query(S_GATES + "SELECT system, round(avg(len_ratio), 8) AS len_ratio FROM g GROUP BY system")
 def len_ratio(spark, d):
-    return gated(spark, d).groupBy("system").agg(F.round(F.avg("len_ratio"), 4).alias("len_ratio"))
+    return gated(spark, d).groupBy("system").agg(F.round(F.avg("len_ratio"), 8).alias("len_ratio"))
 
 
-@query(S_GATES + "SELECT system, count(entity_keep) AS n, round(avg(entity_keep), 4) AS entity_keep FROM g GROUP BY system")
+@query(S_GATES + "SELECT system, count(entity_keep) AS n, round(avg(entity_keep), 8) AS entity_keep FROM g GROUP BY system")
 def entity_keep(spark, d):
-    return gated(spark, d).groupBy("system").agg(F.count("entity_keep").alias("n"), F.round(F.avg("entity_keep"), 4).alias("entity_keep"))
+    return gated(spark, d).groupBy("system").agg(F.count("entity_keep").alias("n"), F.round(F.avg("entity_keep"), 8).alias("entity_keep"))
 
 
 @query(S_LATEST + """, m AS (SELECT l.system, list_filter(b.preserve, lambda e: NOT contains(coalesce(l.uz_text, ''), e)) AS missing, b.preserve
@@ -343,32 +343,32 @@ def shared_ids(spark, d):
     return relational.shared_ids(scores(spark, d))
 
 
-@query(S_SHARED + " SELECT system, round(avg(score), 4) AS paired_mean, count(*) AS n FROM scores WHERE id IN (SELECT id FROM shared) GROUP BY system")
+@query(S_SHARED + " SELECT system, round(avg(score), 8) AS paired_mean, count(*) AS n FROM scores WHERE id IN (SELECT id FROM shared) GROUP BY system")
 def paired_mean(spark, d):
     s = scores(spark, d)
-    return s.join(relational.shared_ids(s), "id", "left_semi").groupBy("system").agg(F.round(F.avg("score"), 4).alias("paired_mean"), F.count("*").alias("n"))
+    return s.join(relational.shared_ids(s), "id", "left_semi").groupBy("system").agg(F.round(F.avg("score"), 8).alias("paired_mean"), F.count("*").alias("n"))
 
 
-@query(S_SCORES + " SELECT system, round(avg(score), 4) AS mean, count(*) AS n FROM scores GROUP BY system")
+@query(S_SCORES + " SELECT system, round(avg(score), 8) AS mean, count(*) AS n FROM scores GROUP BY system")
 def overall_mean(spark, d):
-    return scores(spark, d).groupBy("system").agg(F.round(F.avg("score"), 4).alias("mean"), F.count("*").alias("n"))
+    return scores(spark, d).groupBy("system").agg(F.round(F.avg("score"), 8).alias("mean"), F.count("*").alias("n"))
 
 
-@query(S_SCORES + " SELECT system, round(sum(score) / (SELECT count(DISTINCT id) FROM benchmark), 4) AS zero_imputed FROM scores GROUP BY system")
+@query(S_SCORES + " SELECT system, round(sum(score) / (SELECT count(DISTINCT id) FROM benchmark), 8) AS zero_imputed FROM scores GROUP BY system")
 def zero_imputed_mean(spark, d):
     n = read(spark, d, "benchmark").agg(F.count_distinct("id").alias("n"))
-    return scores(spark, d).groupBy("system").agg(F.sum("score").alias("s")).join(F.broadcast(n)).select("system", F.round(F.col("s") / F.col("n"), 4).alias("zero_imputed"))
+    return scores(spark, d).groupBy("system").agg(F.sum("score").alias("s")).join(F.broadcast(n)).select("system", F.round(F.col("s") / F.col("n"), 8).alias("zero_imputed"))
 
 
 @query(
     S_SCORES + f", c AS (SELECT s.system, coalesce(b.category, 'all') AS category, s.score FROM scores s LEFT JOIN (SELECT id, min(category) AS category FROM benchmark GROUP BY id) b USING (id)) SELECT system, "
-    + ", ".join(f"round(avg(score) FILTER (category = '{c}'), 3) AS \"{c}\"" for c in [*CATEGORIES, "all"]) + " FROM c GROUP BY system"
+    + ", ".join(f"round(avg(score) FILTER (category = '{c}'), 8) AS \"{c}\"" for c in [*CATEGORIES, "all"]) + " FROM c GROUP BY system"
 )
 def mean_by_category_pivot(spark, d):
     cats = read(spark, d, "benchmark").groupBy("id").agg(F.min("category").alias("category"))
     s = scores(spark, d).join(cats, "id", "left").withColumn("category", F.coalesce("category", F.lit("all")))
     p = s.groupBy("system").pivot("category", [*CATEGORIES, "all"]).agg(F.avg("score"))
-    return p.select("system", *(F.round(F.col(c), 3).alias(c) for c in [*CATEGORIES, "all"]))
+    return p.select("system", *(F.round(F.col(c), 8).alias(c) for c in [*CATEGORIES, "all"]))
 
 
 @query(S_PAIRED + " SELECT system, count(*) FILTER (diff > 0.01) AS wins, count(*) FILTER (diff < -0.01) AS losses, count(*) FILTER (abs(diff) <= 0.01) AS ties FROM paired GROUP BY system")
@@ -450,14 +450,14 @@ def paired_bootstrap_p(spark, d):
 def ranked(spark, d, top: int | None = None) -> DataFrame:
     """(system, mean, rank) by paired mean, ties in registry order; per-system rows, so one task ranks them."""
     s = scores(spark, d).where(F.col("system").isin(SYSTEMS))
-    m = s.join(relational.shared_ids(s), "id", "left_semi").groupBy("system").agg(F.round(F.avg("score"), 6).alias("mean"))
+    m = s.join(relational.shared_ids(s), "id", "left_semi").groupBy("system").agg(F.round(F.avg("score"), 12).alias("mean"))
     place = F.array_position(F.array(*map(F.lit, SYSTEMS)), F.col("system"))
     r = m.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean"), place)))
     return r.where(F.col("rank") <= top) if top else r
 
 
 _S_RANKED = S_SHARED + f""", ranked AS (SELECT system, mean, row_number() OVER (ORDER BY mean DESC, list_position({SYSTEMS}, system)) AS rank
- FROM (SELECT system, round(avg(score), 6) AS mean FROM scores WHERE id IN (SELECT id FROM shared) GROUP BY system))"""
+ FROM (SELECT system, round(avg(score), 12) AS mean FROM scores WHERE id IN (SELECT id FROM shared) GROUP BY system))"""
 
 
 @query(_S_RANKED + f" SELECT system, mean, rank::INT AS rank FROM ranked WHERE rank <= {TOP}")
@@ -471,11 +471,11 @@ def top5_pair_matrix(spark, d):
     return stats.paired_p(relational.pairs_of(scores(spark, d), ranked(spark, d, TOP).select("system", "rank")), ["a", "b"])
 
 
-@query(_S_RANKED + f""", z AS (SELECT system, row_number() OVER (ORDER BY s DESC, list_position({SYSTEMS}, system)) AS zero_rank FROM (SELECT system, round(sum(score), 4) AS s FROM scores GROUP BY system))
+@query(_S_RANKED + f""", z AS (SELECT system, row_number() OVER (ORDER BY s DESC, list_position({SYSTEMS}, system)) AS zero_rank FROM (SELECT system, round(sum(score), 8) AS s FROM scores GROUP BY system))
 SELECT system, rank::INT AS rank, zero_rank::INT AS zero_rank FROM ranked JOIN z USING (system) WHERE rank <> zero_rank""")
 def rank_shift(spark, d):
     place = F.array_position(F.array(*map(F.lit, SYSTEMS)), F.col("system"))
-    z = scores(spark, d).where(F.col("system").isin(SYSTEMS)).groupBy("system").agg(F.round(F.sum("score"), 4).alias("s"))
+    z = scores(spark, d).where(F.col("system").isin(SYSTEMS)).groupBy("system").agg(F.round(F.sum("score"), 8).alias("s"))
     z = z.select("system", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("s"), place)).alias("zero_rank"))
     return ranked(spark, d).join(z, "system").where("rank <> zero_rank").select("system", "rank", "zero_rank")
 
