@@ -222,9 +222,9 @@ def fit(tokens: DataFrame, subjects: int, background: int = BACKGROUND, passes:
     terms = top_terms(counts, mean)
     subject_of = np.full(topics, -1)
     for t in range(topics):
-        agree = [len(np.intersect1d(terms[t], s)) / TOP_TERMS for s in seed_terms]
+        agree = [len(np.intersect1d(terms[t], x)) / TOP_TERMS if by_label[:, s].any() else 0.0 for s, x in enumerate(seed_terms)]
         best = int(np.argmax(agree)) if agree else -1
-        if best >= 0 and agree[best] >= AGREEMENT and seed_terms[best].size and counts[:, t].sum() > 0:
+        if best >= 0 and agree[best] >= AGREEMENT and counts[:, t].sum() > 0:
             subject_of[t] = best
     return inspected(_log_words(counts, mean), by_label, subject_of), subject_of
 
