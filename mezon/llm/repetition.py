@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mezon.functions.pytext import latin
-from mezon.session import spread
+from mezon.session import shuffle_partitions
 
 #: Letters of the shortest passage that counts as repeated.
 PASSAGE = 10
@@ -148,22 +148,21 @@ def measure(df: DataFrame, key: str, text: str, model: Regression, threshold: fl
     With a ``threshold``, texts below it are scored but not measured (their share is null). A null
     text gives no row; a text without letters has share 0. Repeated rows give repeated results.
     """
-    rows = spread(df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")))
-    kind = rows.schema["k"].dataType.simpleString()
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.sha2(text, 256).alias("h"))
+    # answers repeat across systems and runs: each text is scored once, copies are combined before the shuffle
+    texts = rows.groupBy("h").agg(F.min("t").alias("t"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            known: dict[str, tuple] = {}
             out = []
             for t in b.column(1).to_pylist():
-                if t not in known:
-                    w = letters(t)
-                    p = m.probability(w)
-                    known[t] = p, repeated_share(w) if threshold is None or p >= threshold else None
-                out.append(known[t])
+                w = letters(t)
+                p = m.probability(w)
+                out.append((p, repeated_share(w) if threshold is None or p >= threshold else None))
             p, s = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array(s, pa.float64())], names=["k", "probability", "repeated_share"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array(s, pa.float64())], names=["h", "probability", "repeated_share"])
 
-    return rows.mapInArrow(run, f"k {kind}, probability double, repeated_share double").withColumnRenamed("k", key)
+    scored = texts.repartition(shuffle_partitions(df.sparkSession), "h").mapInArrow(run, "h string, probability double, repeated_share double")
+    return rows.select("k", "h").join(scored, "h").select(F.col("k").alias(key), "probability", "repeated_share")
