@@ -644,3 +644,44 @@ def bleu_whitespace(spark, d):
 def run_health(spark, d):
     c = read(spark, d, "candidate")
     return c.groupBy("system").agg(F.count_if(F.coalesce("error", F.lit("")) != "").alias("n_errors"), F.round(F.avg("latency_ms"), 4).alias("mean_latency"), F.max("latency_ms").alias("max_latency"))
+
+
+# --- report and streaming -----------------------------------------------------------------------------
+
+
+@query()
+def leaderboard(spark, d):
+    """The board of the report: means, intervals, p against the baseline, wins, losses and ties by system."""
+    from mezon.plans.leaderboard import Inputs, board
+
+    n = read(spark, d, "benchmark").select("id").distinct().count()
+    return board(Inputs(scores(spark, d), n), ITERATIONS)
+
+
+@query(S_GATES.replace("FROM latest l JOIN bench b USING (id)", "FROM candidate l JOIN bench b USING (id)") + "SELECT system, count(*) AS n, count(*) FILTER (passed) AS n_passed FROM g GROUP BY system")
+def stream_gate_counts(spark, d):
+    """All deliveries run through the gate stream until nothing is left, then counted."""
+    import uuid
+
+    from mezon.session import checkpoint_dir
+    from mezon.streaming import gates_stream as gs
+
+    out = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = gs.answer_stream(spark, f"{d}/candidate.parquet*", read(spark, d, "candidate").schema)
+    gs.append_to(gs.gate_stream(source, bench(spark, d)), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy("system").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
+
+
+@query(f"SELECT unnest({SYSTEMS}) AS system, unnest(range(10))::INT AS position")
+def system_registry(spark, d):
+    from mezon.models.registry import as_table
+
+    return as_table(spark).select("system", "position")
+
+
+@query(r"""SELECT id, set_name, CASE WHEN domain IS NULL THEN 'all' ELSE domain END AS category, en_text, regexp_replace(regexp_replace(regexp_replace(uz, '([oOgG])[''‘’ʼʻ`´′‵]', '\1ʻ', 'g'),
+ '([a-zA-Z])[''‘’`´′‵]([a-zA-Z])', '\1ʼ\2', 'g'), '([a-zA-Z])[''‘’`´′‵]([a-zA-Z])', '\1ʼ\2', 'g') AS uz_text FROM (SELECT *, """ + s_strip("uz_text") + " AS uz FROM refset) WHERE " + s_strip("en_text") + " <> '' AND uz <> ''")
+def clean_references(spark, d):
+    r = read(spark, d, "refset").withColumn("uz", tx.strip(F.col("uz_text")))
+    kept = r.where((tx.strip(F.col("en_text")) != "") & (F.col("uz") != ""))
+    return kept.select("id", "set_name", F.coalesce("domain", F.lit("all")).alias("category"), "en_text", tx.normalize_apostrophes(F.col("uz")).alias("uz_text"))
