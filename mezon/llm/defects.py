@@ -77,11 +77,6 @@ def content(text: str | None) -> str:
     return "" if squeezed in PLACEHOLDERS else squeezed
 
 
-def _refuses(text: str) -> bool:
-    t = clean(text)
-    return bool(_DECLINES.search(t)) and bool(_ABOUT.search(t))
-
-
 def _grams(s: str, n: int = 5) -> set[str]:
     return {s[i : i + n] for i in range(max(1, len(s) - n + 1))}
 
@@ -113,20 +108,23 @@ def votes(uz: str | None, en: str | None, median: float, n_answers: int, ending:
     if not n:
         return out | {d: [0] * k for d, k in (("refusal", 4), ("copied", 4), ("other_language", 3), ("truncated", 4))}
     # refusal
-    refuses = _refuses(raw)
+    plain, plain_en = clean(raw), clean(en) if has else ""
+    declines, declines_en = bool(_DECLINES.search(plain)), bool(_DECLINES.search(plain_en))
+    refuses = declines and bool(_ABOUT.search(plain))
+    raw_words, raw_letters = words(raw), letters(raw)
     anchors = set(_NUMBER.findall(en)) | {w.lower() for w in _NAME.findall(en)} if has else set()
-    tokens = set(words(raw)) | set(_NUMBER.findall(raw))
+    tokens = set(raw_words) | set(_NUMBER.findall(raw))
     kept = len(anchors & tokens) / len(anchors) if anchors else None
-    said = has and (bool(_ABOUT.search(clean(en))) and bool(_DECLINES.search(clean(en))))
+    said = declines_en and bool(_ABOUT.search(plain_en))
     out["refusal"] = [
         _vote(refuses, not refuses),
-        _vote(bool(_DECLINES.search(clean(raw))) and not (has and _DECLINES.search(clean(en))), said or not _DECLINES.search(clean(raw))),
+        _vote(declines and not declines_en, said or not declines),
         _vote(kept == 0, kept is not None and kept >= 0.5),
         _vote(refuses and len(split_sentences(raw)) <= 3, n > 400),
     ]
     # copied
     if has:
-        a, b = set(words(raw)), set(words(en))
+        a, b = set(raw_words), set(words(en))
         same = len(a & b) / max(len(a | b), 1)
         ga, gb = _grams(body), _grams(source)
         inside = len(ga & gb) / len(ga)
@@ -136,7 +134,7 @@ def votes(uz: str | None, en: str | None, median: float, n_answers: int, ending:
         out["copied"] = [0, 0, 0, 0]
     # other language
     whole, clear, uzbek = lang
-    foreign = sum(c in "ыщэәіңөүұһşçıöüğ" for c in clean(raw)) / n
+    foreign = sum(c in "ыщэәіңөүұһşçıöüğ" for c in plain) / n
     marked = len(regex.findall(r"(?i)[og]['‘’ʼʻ`´]|q(?!u)|[ўқғҳ]|sh|x", raw)) / n
     out["other_language"] = [
         _vote(whole > 0, whole < 0),
@@ -148,7 +146,7 @@ def votes(uz: str | None, en: str | None, median: float, n_answers: int, ending:
     stops = raw.rstrip().endswith(("...", "…")) and not (has and en.rstrip().endswith(("...", "…")))
     finished = has and en.rstrip()[-1:] in tuple(".!?")
     # an answer that repeats itself where its source does not went wrong in another way
-    loops = repeated_share(letters(raw)) >= 0.5 > repeated_share(letters(en or ""))
+    loops = repeated_share(raw_letters) >= 0.5 and repeated_share(letters(en or "")) < 0.5
     sound = clear <= 0.5 and not refuses and not loops
     marks = raw.rstrip()[-1:] in tuple(".!?…\"”»)")
     out["truncated"] = [
@@ -213,7 +211,7 @@ def _profiles(answers: DataFrame) -> DataFrame:
 
 def vote_patterns(answers: DataFrame, sources: DataFrame, model: Model) -> DataFrame:
     """(key, one pattern number per defect) of every answer. ``answers``: key, segment, text; ``sources``: segment, source."""
-    profiles = _profiles(answers)
+    profiles = cut(_profiles(answers))  # read twice
     endings = profiles.groupBy("segment", "ending").agg(F.count("*").alias("c"))
     common = endings.groupBy("segment").agg(F.max_by("ending", F.struct("c", "ending")).alias("ending"))
     stats = profiles.groupBy("segment").agg(F.percentile_approx("n", 0.5, 200).alias("median"), F.count("*").alias("n_answers")).join(common, "segment")
@@ -235,9 +233,9 @@ def vote_patterns(answers: DataFrame, sources: DataFrame, model: Model) -> DataF
                 sents = split_sentences(t)
                 size = [len(s) for s in sents]
                 total = max(sum(size), 1)
-                whole, c = m.score(" ".join(sents))
-                whole = 0.0 if c < MARGIN / 2 else -1.0 if whole == "uz" else 1.0
                 sure = [(s, *m.score(x)) for x, s in zip(sents, size)]
+                whole, c = m.score(" ".join(sents)) if len(sents) > 1 else sure[0][1:]
+                whole = 0.0 if c < MARGIN / 2 else -1.0 if whole == "uz" else 1.0
                 clear = sum(s for s, lang, c in sure if c >= MARGIN and lang != "uz")
                 uzbek = sum(s for s, lang, c in sure if c >= MARGIN and lang == "uz")
                 langs[t] = whole, clear / total, uzbek / total
