@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from mezon.functions.pytext import APOSTROPHES, INVISIBLE, UZ_CYRILLIC, split_sentences
 from mezon.session import spread
 
-#: At most so many labelled rows are looked at for the dictionaries, and so many bytes kept per class.
-SAMPLE_ROWS, DICT_BYTES = 6000, 48 * 1024
+#: At most so many labelled rows, none longer than so many characters, are looked at for the
+#: dictionaries, and so many bytes kept per class. This bounds the fit only; every text is classified whole.
+SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 6000, 20_000, 48 * 1024
 #: A sentence is rejected if the runner-up needs less than this share more bytes, or less than so many bytes more.
 MARGIN, MARGIN_BYTES = 0.04, 3
 
@@ -184,7 +185,7 @@ def _model(texts: dict[str, list[str]]) -> Model:
 def train(df: DataFrame, text: str, label: str, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Dictionaries from at most ``sample_rows`` labelled rows, chosen by a hash of their text."""
     rows = (
-        df.where(F.col(text).isNotNull() & (F.length(F.trim(F.col(text))) > 0))
+        df.where((F.length(F.trim(F.col(text))) > 0) & (F.length(F.col(text)) <= SAMPLE_CHARS))
         .select(F.col(text).alias("t"), F.col(label).alias("l"))
         .orderBy(F.xxhash64("t"), "t", "l").limit(sample_rows).collect()
     )

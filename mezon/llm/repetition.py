@@ -28,8 +28,9 @@ from mezon.session import shuffle_partitions
 PASSAGE = 10
 BUCKETS = 512
 WORD_GRAMS, CHAR_GRAMS = (1, 2, 3, 4), (4, 8, 16)
-#: Labelled rows of each class that training looks at, and the least number of positives to train at all.
-SAMPLE_ROWS, LEAST_POSITIVE = 3000, 20
+#: Labelled rows of each class that training looks at, their greatest length in characters, and the
+#: least number of positives to train at all. This bounds the fit only; every text is scored whole.
+SAMPLE_ROWS, SAMPLE_CHARS, LEAST_POSITIVE = 3000, 20_000, 20
 #: Texts from this probability on are measured exactly.
 THRESHOLD = 0.02
 
@@ -136,7 +137,7 @@ def labelled_rows(answers: DataFrame, references: DataFrame, counts: DataFrame,
     sure = kept.join(agreed, ["run_id", "system"], "left_semi").where(F.col("bad") | F.length("text").between(0.5 * F.col("ref"), 1.5 * F.col("ref")))
     rows = []
     for bad in (True, False):
-        one = sure.where(F.col("bad") == bad).select("text").distinct()
+        one = sure.where((F.col("bad") == bad) & (F.length("text") <= SAMPLE_CHARS)).select("text").distinct()
         rows += [(r[0], bad) for r in one.orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()]
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(r[0]))
     return [t for t, _ in rows], [b for _, b in rows]
