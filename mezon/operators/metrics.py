@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mezon.functions.text import SPACE, let, words
+from mezon.session import shuffle_partitions
 
 CHAR_ORDER, WORD_ORDER, BETA, BLEU_ORDER = 6, 2, 2, 4
 
@@ -34,10 +35,11 @@ def _tokens(c: Column) -> Column:
 def _matches(df: DataFrame, group: list[str], grams_of, hyp: str, ref: str) -> DataFrame:
     """(group, kind, hyp_n, ref_n, match): totals and clipped matches by kind of n-gram.
 
-    Both sides are counted in one pass and one shuffle: a gram's two counts meet in the same group.
+    Both sides are counted in one pass, and the texts are spread by row before they become n-grams:
+    a row's grams are then already together, and only the texts are shuffled.
     """
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(hyp).alias("t")), F.struct(F.lit(1).alias("side"), F.col(ref).alias("t"))))
-    long = df.select(*group, "id", sides.alias("x")).select(*group, "id", F.col("x.side").alias("side"), F.col("x.t").alias("t"))
+    long = df.repartition(shuffle_partitions(df.sparkSession), *group, "id").select(*group, "id", sides.alias("x")).select(*group, "id", F.col("x.side").alias("side"), F.col("x.t").alias("t"))
     every = grams_of(F.col("t"))
     grams = long.select(*group, "id", "side", F.explode(every).alias("g"))
     by = grams.groupBy(*group, "id", "g.kind", "g.gram").agg(F.count_if(F.col("side") == 0).alias("h"), F.count_if(F.col("side") == 1).alias("r"))
