@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mezon.functions.gates import gates, passes
+from mezon.operators.exact_dedup import segment_id
 
 
 def answer_stream(spark: SparkSession, directory: str, schema, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
@@ -14,8 +15,8 @@ def answer_stream(spark: SparkSession, directory: str, schema, fmt: str = "parqu
 
 
 def gate_stream(answers: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Streamed answers joined with the static benchmark, with their gates."""
-    rows = answers.join(benchmark.select("id", "en_text", "preserve"), "id")
+    """Streamed answers joined with the static benchmark by the segment their id names, with their gates."""
+    rows = answers.withColumn("id", segment_id(F.col("id"))).join(benchmark.select("id", "en_text", "preserve"), "id")
     flags = gates(F.col("en_text"), F.col("uz_text"), F.col("preserve"))
     return rows.select("ord", "run_id", "system", "id", *(c.alias(n) for n, c in flags.items())).withColumn("passed", passes())
 

@@ -152,3 +152,11 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     want = gs.gate_stream(df, bench)
     assert got.count() == 30 and got.exceptAll(want).count() == 0
+
+
+def test_stream_repairs_damaged_ids(spark):
+    bench = spark.createDataFrame([("a-1", "Hello", [])], "id string, en_text string, preserve array<string>")
+    ids = ["a-1", " A-1", "a\u20131", "a\u00a0-\u200b1\n", "a-2", None]
+    df = spark.createDataFrame([(n, 1, "s", x, "Salom") for n, x in enumerate(ids)], "ord long, run_id long, system string, id string, uz_text string")
+    got = gs.gate_stream(df, bench).collect()
+    assert sorted((r["ord"], r["id"]) for r in got) == [(n, "a-1") for n in range(4)]
