@@ -25,7 +25,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from mezon.functions.pytext import split_sentences, words
 from mezon.session import cut, spread
@@ -33,8 +32,8 @@ from mezon.session import cut, spread
 STEM = 6
 #: Words of a block on either side at most.
 BLOCK_WORDS = 120
-#: Least log-likelihood ratio of a lexicon entry (p < 0.001), and translations kept per word.
-MIN_LLR, TRANSLATIONS = 10.83, 24
+#: Least log-likelihood ratio of a lexicon entry (p < 0.001).
+MIN_LLR = 10.83
 #: A pair must score more than this; a second partner must explain more than this share of what was left.
 NULL_SCORE, NULL_REST = 0.42, 0.55
 #: One of the two sentences must be translated to at least this share.
@@ -139,9 +138,7 @@ def _lexicon(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     llr = 2 * (cell(a, b, c) + cell(b - a, b, F.greatest(n - c, F.lit(1e-9))) + cell(c - a, F.greatest(n - b, F.lit(1e-9)), c) + cell(n - b - c + a, F.greatest(n - b, F.lit(1e-9)), F.greatest(n - c, F.lit(1e-9))))
     scored = both.withColumn("llr", llr).where((F.col("llr") >= MIN_LLR) & (a * n > b * c))
     weight = (2 * a / (b + c)).cast("float")
-    # equal ratios tie for words that always stand together; the hash decides, alike on every run
-    rank = F.row_number().over(Window.partitionBy("e").orderBy(F.desc("llr"), "f"))
-    lex = scored.withColumn("rank", rank).where(F.col("rank") <= TRANSLATIONS).select("pair", weight.alias("weight"))
+    lex = scored.select("pair", weight.alias("weight"))
     rarity = counts.where(F.col("kind").isin(_EN, _UZ)).select("kind", "key", F.log1p(n / F.col("n")).cast("float").alias("rarity"))
     return lex, rarity
 

@@ -203,6 +203,12 @@ def test_alignment(spark, synthetic, monkeypatch):
     assert run(df.limit(0)) == set()
 
 
+def test_lexicon_keeps_every_significant_translation(spark):
+    rows = [(0, (1 << 32) | f, 30) for f in range(40)] + [(1, 1, 1200)] + [(2, f, 30) for f in range(40)] + [(3, 0, 10_000)]
+    lex, _ = bitext._lexicon(spark.createDataFrame(rows, "kind long, key long, n long"))
+    assert {r["pair"] & 0xFFFFFFFF for r in lex.collect()} == set(range(40))
+
+
 # --- 4: repetition ------------------------------------------------------------------------------
 
 
