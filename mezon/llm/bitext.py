@@ -144,17 +144,17 @@ def _lexicon(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Lexicon:
-    """Entries sorted by pair, and rarities sorted by word, as arrays."""
+    """Entries sorted by pair, and rarities sorted by word, as arrays; ``unknown`` is the rarity of all other words."""
 
-    def __init__(self, pairs, weights, words_by_side: dict[int, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, pairs, weights, words_by_side: dict[int, tuple[np.ndarray, np.ndarray]], unknown: float):
         order = np.argsort(pairs, kind="stable")
         self.pairs, self.weights, self.sides = pairs[order], weights[order], words_by_side
-        self.unknown = max((float(r.max()) for _, r in words_by_side.values() if len(r)), default=1.0)
+        self.unknown = unknown
 
     def rarity(self, side: int, words_: np.ndarray) -> np.ndarray:
         keys, r = self.sides[side]
         if not len(keys):
-            return np.ones(len(words_))
+            return np.full(len(words_), self.unknown)
         at = np.minimum(np.searchsorted(keys, words_), len(keys) - 1)
         return np.where(keys[at] == words_, r[at], self.unknown).astype(float)
 
@@ -328,31 +328,33 @@ def _fit(rows: DataFrame, pairs_of) -> tuple[DataFrame, DataFrame]:
 
 
 def _aligned(rows: DataFrame, fitted: tuple[DataFrame, DataFrame], schema: str, emit) -> DataFrame:
-    """``emit(key, en, uz, pairs)`` of every document, with the lexicon broadcast or, beyond the bound, joined."""
+    """``emit(key, en, uz, pairs)`` of every document, with the lexicon broadcast or, beyond the bound, joined by row number ``n``."""
     lex, rarity = (cut(x) for x in fitted)
     spark = rows.sparkSession
+    # a word without rarity counts as the rarest of the corpus, whichever part of the lexicon a document gets
+    unknown = rarity.agg(F.max("rarity")).first()[0] or 1.0
     names = T._parse_datatype_string(schema).names
     if lex.count() + rarity.count() <= BROADCAST_ROWS:
         p, r = lex.toPandas(), rarity.toPandas().sort_values("key")
         sides = {k: (g["key"].to_numpy(np.int64), g["rarity"].to_numpy()) for k, g in ((k, r[r["kind"] == k]) for k in (_EN, _UZ))}
-        shared = spark.sparkContext.broadcast(Lexicon(p["pair"].to_numpy(np.int64), p["weight"].to_numpy(np.float32), sides))
-        source = rows
+        shared = spark.sparkContext.broadcast(Lexicon(p["pair"].to_numpy(np.int64), p["weight"].to_numpy(np.float32), sides, unknown))
+        source = rows.select("k", "en", "uz")
         lexicon_of = lambda extra: shared.value
     else:
         # every document gets the entries and rarities of its own words
-        flat = lambda c, kind: rows.select("k", F.explode(F.array_distinct(F.flatten(c))).alias("key"), F.lit(kind).cast("long").alias("kind"))
+        flat = lambda c, kind: rows.select("n", F.explode(F.array_distinct(F.flatten(c))).alias("key"), F.lit(kind).cast("long").alias("kind"))
         own_r = flat("en", _EN).union(flat("uz", _UZ)).join(rarity, ["kind", "key"])
-        own_r = own_r.groupBy("k").agg(F.collect_list(F.struct("kind", "key", "rarity")).alias("own_r"))
-        own_l = flat("en", _EN).select("k", F.col("key").alias("e")).join(lex.withColumn("e", F.shiftrightunsigned("pair", 32)), "e")
-        own_l = own_l.withColumn("f", F.col("pair").bitwiseAND(0xFFFFFFFF)).join(flat("uz", _UZ).select("k", F.col("key").alias("f")), ["k", "f"], "left_semi")
-        own_l = own_l.groupBy("k").agg(F.collect_list(F.struct("pair", "weight")).alias("own_l"))
-        source = rows.join(own_r, "k", "left").join(own_l, "k", "left").select("k", "en", "uz", "own_r", "own_l")
+        own_r = own_r.groupBy("n").agg(F.collect_list(F.struct("kind", "key", "rarity")).alias("own_r"))
+        own_l = flat("en", _EN).select("n", F.col("key").alias("e")).join(lex.withColumn("e", F.shiftrightunsigned("pair", 32)), "e")
+        own_l = own_l.withColumn("f", F.col("pair").bitwiseAND(0xFFFFFFFF)).join(flat("uz", _UZ).select("n", F.col("key").alias("f")), ["n", "f"], "left_semi")
+        own_l = own_l.groupBy("n").agg(F.collect_list(F.struct("pair", "weight")).alias("own_l"))
+        source = rows.join(own_r, "n", "left").join(own_l, "n", "left").select("k", "en", "uz", "own_r", "own_l")
 
         def lexicon_of(extra):
             r, p = extra
             by = {k: sorted((x["key"], x["rarity"]) for x in r or () if x["kind"] == k) for k in (_EN, _UZ)}
             sides = {k: (np.array([x for x, _ in v], np.int64), np.array([y for _, y in v])) for k, v in by.items()}
-            return Lexicon(np.array([x["pair"] for x in p or ()], np.int64), np.array([x["weight"] for x in p or ()], np.float32), sides)
+            return Lexicon(np.array([x["pair"] for x in p or ()], np.int64), np.array([x["weight"] for x in p or ()], np.float32), sides, unknown)
 
     kinds = [pa.from_numpy_dtype(np.int64) if f.dataType.simpleString() == "bigint" else None for f in T._parse_datatype_string(schema)]
 
@@ -377,7 +379,7 @@ def align_sentences(df: DataFrame, key: str, en: str, uz: str, parallel: DataFra
     that repeat a key are aligned each for itself and their pairs given once. ``parallel`` (columns
     ``en`` and ``uz``) is further translated text for the lexicon.
     """
-    rows = cut(_rows(df, key, en, uz))
+    rows = cut(_rows(df, key, en, uz).withColumn("n", F.monotonically_increasing_id()))
     more = _rows(parallel.select(F.lit(None).cast("long").alias("k"), "en", "uz"), "k", "en", "uz").select("en", "uz") if parallel is not None else None
     texts = rows.select("en", "uz")
     first = _fit(texts.union(more) if more is not None else texts, lambda a, b: blocks(_arrays(a), _arrays(b)))

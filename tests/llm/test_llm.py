@@ -209,6 +209,18 @@ def test_lexicon_keeps_every_significant_translation(spark):
     assert {r["pair"] & 0xFFFFFFFF for r in lex.collect()} == set(range(40))
 
 
+def test_both_lexicons_weigh_missing_words_alike(spark, monkeypatch):
+    docs = [(1, [[1, 2, 9]], [[11, 12]], 0), (None, [[1, 2]], [[11, 12]], 1), (3, [[1, 2]], [[1, 2, 9]], 2), (1, [[2, 8]], [[12]], 3)]
+    rows = spark.createDataFrame(docs, "k long, en array<array<long>>, uz array<array<long>>, n long")
+    lex = spark.createDataFrame([((1 << 32) | 11, 1.0), ((2 << 32) | 12, 1.0)], "pair long, weight float")
+    rarity = spark.createDataFrame([(1, 1, 1.0), (1, 2, 1.0), (1, 5, 3.0), (2, 11, 1.0), (2, 12, 1.0)], "kind long, key long, rarity float")
+    schema, emit = "k long, en_no long, uz_no long, score double", lambda k, e, u, pairs: [(k, i, j, s) for i, j, s, _ in pairs]
+    run = lambda: sorted(map(str, map(tuple, bitext._aligned(rows, (lex, rarity), schema, emit).collect())))
+    broadcast = run()
+    monkeypatch.setattr(bitext, "BROADCAST_ROWS", 0)
+    assert len(broadcast) == 4 and run() == broadcast
+
+
 # --- 4: repetition ------------------------------------------------------------------------------
 
 
