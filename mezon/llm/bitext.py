@@ -6,8 +6,8 @@
 2. Every sentence pair is scored by the share of its words, weighted by rarity, that the other side
    translates; maximum-weight assignment (Hungarian method) picks partners, and a pair below the
    null score is worse than none.
-3. What the partners leave unexplained is scored and assigned again, next to the partner: these are
-   sentences merged or split by the translation.
+3. What the partners leave unexplained is scored and assigned again, next to the partner, until that
+   adds no pair: these are sentences merged or split by the translation.
 4. The lexicon is estimated a second time from the pairs found, and the assignment repeated.
 
 The statistics cover all documents. Words are compared in Latin script, without case and apostrophes,
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ MIN_LLR = 10.83
 NULL_SCORE, NULL_REST = 0.42, 0.55
 #: One of the two sentences must be translated to at least this share.
 MOST_COVERED = 0.62
-#: A sentence takes part in the second assignment if this share of its weight is unexplained.
+#: A sentence takes part in a further assignment if this share of its weight is unexplained.
 REST_SHARE = 0.2
 #: Lexicons up to this size are broadcast; larger ones are joined to the documents.
 BROADCAST_ROWS = 3_000_000
@@ -268,7 +269,7 @@ def align(en: list[np.ndarray], uz: list[np.ndarray], lex: Lexicon) -> list[tupl
     full_e, full_u = we.sum(axis=1), wu.sum(axis=1)
     pairs: list[tuple[int, int, float, bool]] = []
     partners_e, partners_u = {}, {}
-    for turn in range(3):
+    for turn in count():  # each pair is found once, so this ends
         ce, cu = _coverage(we, wu, e, u, w), _coverage(wu, we, u, e, w).T
         mean = (ce + cu) / 2 - near
         if turn == 0:

@@ -221,6 +221,15 @@ def test_both_lexicons_weigh_missing_words_alike(spark, monkeypatch):
     assert len(broadcast) == 4 and run() == broadcast
 
 
+def test_merges_of_many_sentences():
+    en = [np.arange(6 * i, 6 * i + 6) for i in range(5)]
+    words = np.arange(30)
+    lex = bitext.Lexicon((words << 32) | (words + 100), np.ones(30), {1: (words, np.ones(30)), 2: (words + 100, np.ones(30))}, 1.0)
+    uz = [np.concatenate(en) + 100]
+    assert [p[:2] for p in bitext.align(en, uz, lex)] == [(i, 1) for i in range(1, 6)]
+    assert len(bitext.align([uz[0] - 100], [x + 100 for x in en], lex)) == 5
+
+
 # --- 4: repetition ------------------------------------------------------------------------------
 
 
