@@ -111,10 +111,15 @@ def preserve(c: Column) -> Column:
     return F.array_sort(F.array_union(opaque, placeholders(c)))
 
 
+def edge(c: Column) -> Column:
+    """Holds a placeholder or profanity."""
+    return (F.size(placeholders(c)) > 0) | F.rlike(c, F.lit(f"(?iU){PROFANITY}"))
+
+
 def category(role: Column, c: Column) -> Column:
     """edge (placeholder or profanity), tool_spoken (any entity), kb_passage (long assistant turn), else by role."""
     return (
-        F.when((F.size(placeholders(c)) > 0) | F.rlike(c, F.lit(f"(?iU){PROFANITY}")), "edge")
+        F.when(edge(c), "edge")
         .when(F.size(entities(c)) > 0, "tool_spoken")
         .when((role == "assistant") & (word_count(c) >= KB_MIN_WORDS), "kb_passage")
         .when(role == "assistant", "agent_reply")

@@ -87,6 +87,11 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return t.where((F.coalesce("role", F.lit("")) != "system") & (F.col("text") != ""))
 
 
+def of_length(text, n_words):
+    """At most 400 words, and under three only with a placeholder or profanity."""
+    return (n_words <= 400) & ((n_words >= 3) | ent.edge(text))
+
+
 W = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
 
 
@@ -217,7 +222,7 @@ def last_score(spark, d):
 @query(S_SEGMENTS + f""", k AS (SELECT *, lower(array_to_string({s_words('text')}, ' ')) AS k FROM segs WHERE len({s_words('text')}) BETWEEN 3 AND 400)
 SELECT dialogue_idx, turn_idx, text FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dialogue_idx, turn_idx) AS rn FROM k) WHERE rn = 1""")
 def dedupe_first_text(spark, d):
-    s = segments(spark, d).where(tx.word_count(F.col("text")).between(3, 400))
+    s = segments(spark, d).where(of_length(F.col("text"), tx.word_count(F.col("text"))))
     return dedupe.first_text(s.select("dialogue_idx", "turn_idx", "text"), "text", ["dialogue_idx", "turn_idx"])
 
 
@@ -236,7 +241,7 @@ def prev_context(spark, d):
 
 @query(S_SEGMENTS + f"SELECT dialogue_idx, turn_idx, n_words FROM (SELECT *, len({s_words('text')})::INT AS n_words FROM segs) WHERE n_words <= 400 AND n_words >= 3")
 def length_filter(spark, d):
-    return segments(spark, d).withColumn("n_words", tx.word_count(F.col("text"))).where("n_words <= 400 AND n_words >= 3").select("dialogue_idx", "turn_idx", "n_words")
+    return segments(spark, d).withColumn("n_words", tx.word_count(F.col("text"))).where(of_length(F.col("text"), F.col("n_words"))).select("dialogue_idx", "turn_idx", "n_words")
 
 
 @query(S_SEGMENTS + r"SELECT dialogue_idx, turn_idx, list_sort(list_distinct(regexp_extract_all(text, '\b[A-Z]{6,}\b'))) AS placeholders FROM segs WHERE regexp_matches(text, '\b[A-Z]{6,}\b')")

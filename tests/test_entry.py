@@ -50,3 +50,11 @@ def test_plans_stay_in_the_jvm(spark):
         assert "EvalPython" not in plan and "InPandas" not in plan and "CartesianProduct" not in plan, name
     scan = entry.queries()["overall_mean"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(score)]" in scan and "n_chunks" not in scan
+
+
+def test_short_edge_turns_stay(spark, tmp_path):
+    texts = ["Damn!", "Fine, thanks", "ORDERID please", "one two three", "shit " * 401]
+    schema = "dialogue_idx long, source string, domain string, messages array<struct<role:string,content:string>>"
+    spark.createDataFrame([(0, "s", "d", [("user", t) for t in texts])], schema).write.parquet(str(tmp_path / "corpus.parquet"))
+    for name in ("length_filter", "dedupe_first_text"):
+        assert sorted(r["turn_idx"] for r in entry.queries()[name](spark, str(tmp_path)).collect()) == [0, 2, 3], name
