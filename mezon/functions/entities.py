@@ -53,17 +53,16 @@ def entities(c: Column) -> Column:
 
 
 def sentinel(i: Column) -> Column:
-    """Token for entity ``i``: Xq, letters counted A..Z, AA.., qX (up to three letters)."""
-    i = i.cast("int")
+    """Token for entity ``i``: Xq, letters counted A..Z, AA.., qX."""
     letter = lambda n: F.chr((F.lit(65) + n).cast("long"))
-    one = letter(i % 26)
-    second = F.floor(i / 26).cast("int") - 1
-    third = F.floor(second / 26).cast("int") - 1
-    core = (
-        F.when(second < 0, one)
-        .when(third < 0, F.concat(letter(second % 26), one))
-        .otherwise(F.concat(letter(F.greatest(third, F.lit(0)) % 26), letter(second % 26), one))
-    )
+
+    def step(acc: Column, _: Column) -> Column:
+        more = F.struct((F.floor(acc["rest"] / 26) - 1).cast("int").alias("rest"), F.concat(letter(acc["rest"] % 26), acc["core"]).alias("core"))
+        return F.when(acc["rest"] >= 0, more).otherwise(acc)
+
+    # seven letters number more than an int can
+    start = F.struct(i.cast("int").alias("rest"), F.lit("").alias("core"))
+    core = F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, step, lambda acc: acc["core"])
     return F.concat(F.lit("Xq"), core, F.lit("qX"))
 
 

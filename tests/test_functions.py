@@ -55,6 +55,13 @@ def test_sentinels(spark):
     assert got == ["XqAqX", "XqZqX", "XqAAqX", "XqAZqX", "XqBAqX", "XqZZqX", "XqAAAqX"]
 
 
+def test_sentinels_never_repeat(spark):
+    assert run(spark, [18277, 18278, 18279, 475253, 475254], ent.sentinel, "t int") == ["XqZZZqX", "XqAAAAqX", "XqAAABqX", "XqZZZZqX", "XqAAAAAqX"]
+    got = spark.range(60_000).select(ent.sentinel(F.col("id")).alias("t"))
+    assert got.distinct().count() == 60_000
+
+
+
 def test_text_functions(spark):
     assert run(spark, ["o'zbek ma'no a'b'c dogs'", "gʼ Oʻ"], tx.normalize_apostrophes) == ["oʻzbek maʼno aʼbʼc dogs'", "gʻ Oʻ"]
     assert run(spark, ["a  b c", " a\tb ", "", None], tx.word_count)[:3] == [3, 2, 0]
