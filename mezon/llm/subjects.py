@@ -38,8 +38,6 @@ EXCESS = 0.5
 TELLING = 2.0
 #: Pseudo-counts of the Dirichlet priors: topics of a labelled document, topics of any document, words of a topic.
 LABEL_PRIOR, PRIOR, WORD_PRIOR = 1.5, 0.3, 0.02
-#: Posteriors up to this are not added to a topic's words.
-NEGLIGIBLE = 1e-4
 #: A segment is about a subject if the subject's posterior is at least this.
 SURE = 0.6
 #: Top terms compared when a topic is mapped to a subject, and the share that must agree.
@@ -140,12 +138,9 @@ def _sums(weight_of, topics: int, subjects: int):
                 continue
             x = _Batch(b, subjects)
             weights, size = weight_of(x), np.diff(np.r_[x.starts, len(x.words)])
-            segment = np.repeat(np.arange(len(size)), size)
             for t in range(topics):
-                on = weights[:, t] > NEGLIGIBLE  # most segments belong to one or two topics
-                at = on[segment]
-                total[:, t] += np.bincount(x.words[at], weights[segment[at], t], BUCKETS)
-        at = np.flatnonzero(total.ravel() > 1e-9)
+                total[:, t] += np.bincount(x.words, np.repeat(weights[:, t], size), BUCKETS)
+        at = np.flatnonzero(total.ravel() > 0)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["cell", "value"])
 
     return run

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -391,6 +392,15 @@ def test_subjects_on_held_out_labels(spark):
     assert subjects.classify(d, "k", "subject", names, lab.limit(0), "doc", "subject").count() == 0
 
 
+def test_small_posteriors_are_summed():
+    ints = pa.list_(pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([[3, 4, 3]], ints), pa.array([[2, 3]], ints), pa.array([[0]], ints)], names=["k", "words", "ends", "given"])
+    got = next(subjects._sums(lambda x: np.array([[1 - 1e-5, 1e-5], [1.0, 1e-10]]), 2, 1)(iter([batch]))).to_pydict()
+    sums = dict(zip(got["cell"], got["value"]))
+    assert sums == pytest.approx({6: 2 - 1e-5, 7: 1e-5 + 1e-10, 8: 1 - 1e-5, 9: 1e-5}, rel=1e-9)
+
+
+
 def test_sentence_rule():
     assert split_sentences("A b. C d!  E…\nF\r\n\n G?H") == ["A b.", "C d!", "E…", "F", "G?H"]
 
