@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from mezon.llm import bitext, defects, language, leakage, packing, repetition, splitting, subjects
 from mezon.operators.exact_dedup import segment_id
+from mezon.session import cut
+
+#: A document is about a subject from this share on; the least share that any segment can give.
+ABOUT, ANY = 1 / 6, 2e-9
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -83,10 +87,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(docs, "doc_id", "text", items, "id", ["en_text", "uz_text"])
 
 
-def p9_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p9_subjects(spark: SparkSession, sf_dir: str, least: float = ABOUT) -> DataFrame:
     names = [r[0] for r in _table(spark, sf_dir, "subject_area", "subject").where("subject IS NOT NULL").distinct().collect()]
     docs, labels = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "doc_subject")
-    return subjects.classify(docs, "doc_id", "text", names, labels, "doc_id", "subject")
+    return subjects.classify(docs, "doc_id", "text", names, labels, "doc_id", "subject", least)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +98,20 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and summed shares by subject."""
-    return p9_subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("n_docs"), F.round(F.sum("share"), 6).alias("weight"))
+    """Documents about each subject, and its shares summed over all documents.
+
+    The row without subject has the documents about none, and what no subject takes of any document, so
+    that weights add up to the number of documents. Null keys are left out.
+    """
+    shares = cut(p9_subjects(spark, sf_dir, ANY))
+    about = F.coalesce("most", F.lit(0.0)) >= ABOUT - 1e-9
+    weight = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 6).alias("weight")
+    by_subject = shares.withColumnRenamed("share", "most").groupBy("subject").agg(F.count_if(about).alias("n_docs"), weight(F.col("most")))
+    taken = shares.groupBy("doc_id").agg(F.sum("share").alias("taken"), F.max("share").alias("most"))
+    docs = _table(spark, sf_dir, "documents", "doc_id").where("doc_id IS NOT NULL").distinct().join(taken, "doc_id", "left")
+    rest = F.greatest(1 - F.coalesce("taken", F.lit(0.0)), F.lit(0.0))
+    none = docs.agg(F.count_if(~about).alias("n_docs"), weight(rest)).select(F.lit(None).cast("string").alias("subject"), "n_docs", "weight")
+    return by_subject.union(none)
 
 
 QUERIES = {

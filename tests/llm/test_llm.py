@@ -401,6 +401,17 @@ def test_small_posteriors_are_summed():
 
 
 
+def test_composition_covers_every_document(spark, tmp_path, monkeypatch):
+    shares = spark.createDataFrame([(1, "law", 0.75), (1, "art", 0.125), (2, "art", 0.125), (2, "law", 0.25)], "doc_id long, subject string, share double")
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("law",), ("art",)], "subject string").write.parquet(str(tmp_path / "subject_area.parquet"))
+    spark.createDataFrame([(1, "law")], "doc_id long, subject string").write.parquet(str(tmp_path / "doc_subject.parquet"))
+    monkeypatch.setattr(subjects, "classify", lambda docs, *a: shares.where(F.col("share") >= (a[6] if len(a) > 6 else 1 / 6)))
+    got = {tuple(r) for r in queries.p9_composition(spark, str(tmp_path)).collect()}
+    assert got == {("law", 2, 1.0), ("art", 0, 0.25), (None, 1, 1.75)}
+
+
+
 def test_sentence_rule():
     assert split_sentences("A b. C d!  E…\nF\r\n\n G?H") == ["A b.", "C d!", "E…", "F", "G?H"]
 
