@@ -5,30 +5,38 @@ compressed with every dictionary; the class whose dictionary leaves the fewest b
 best two languages are closer than a margin the sentence is rejected and takes the language of the
 stretch it stands in.
 
-Dictionaries are made here: a short built-in text per class classifies a bounded sample of labelled
-rows, texts whose label agrees with the clear winner enter the dictionaries, and the second round
-repeats this with the better dictionaries. The size of a model is fixed by ``DICT_BYTES``.
+Dictionaries are made here: a short built-in text per class, and sentences of a bounded sample of
+labelled rows. A sentence enters the dictionary of its label if the labels of all its occurrences
+agree by majority and dictionaries made of other rows confirm it clearly. All classes get the same
+number of bytes, chosen by hash and ordered by certainty, so neither the order of the rows nor the
+mix of languages shifts the comparison.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mezon.functions.pytext import APOSTROPHES, INVISIBLE, UZ_CYRILLIC, split_sentences
 from mezon.session import spread
 
-#: At most so many labelled rows, none longer than so many characters, are looked at for the
-#: dictionaries, and so many bytes kept per class. This bounds the fit only; every text is classified whole.
-SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 6000, 20_000, 48 * 1024
+#: At most so many labelled rows (an equal part per language), none longer than so many characters, are
+#: looked at for the dictionaries. This bounds the fit only; every text is classified whole.
+SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
+#: Bytes of sentences per dictionary, the same for every class: what the class with the least has, within these bounds.
+LEAST_BYTES, DICT_BYTES = 8 * 1024, 48 * 1024
+#: Put before every sentence: without it a short one is often stored as it is, and all sizes are equal.
+PAD = b" " * 64
 #: A sentence is rejected if the runner-up needs less than this share more bytes, or less than so many bytes more.
 MARGIN, MARGIN_BYTES = 0.04, 3
 
@@ -47,27 +55,57 @@ SEEDS = {
 conscience and should act towards one another in a spirit of brotherhood. Please tell me what time the shop opens
 and how much it will cost. We have received your message and will answer you as soon as possible. Could you help me
 with this problem, because it does not work any more? Thank you very much, that was all I wanted to know. They said
-that there would be no trains on that day, so we stayed at home and watched a film. I have been waiting for an hour.""",
+that there would be no trains on that day, so we stayed at home and watched a film. I have been waiting for an hour.
+Where can I find the form that I have to fill in before Monday? She told us that the meeting had been moved
+to another day because the manager was ill. If you do not agree with this decision, you may write to us within two
+weeks. There was nothing left in the box when we opened it, although it had been closed. My brother wants to buy a
+new phone, but he has not found one that he likes yet. The water in this town is clean, and children often swim in
+the river during summer. Would it be possible to pay for both tickets at once? People who live near the station say
+that it has become much quieter there. After that he went out without saying which way he would go.""",
     "ru": """Все люди рождаются свободными и равными в своём достоинстве и правах. Они наделены разумом и совестью и
 должны поступать в отношении друг друга в духе братства. Скажите, пожалуйста, во сколько открывается магазин и
 сколько это будет стоить. Мы получили ваше сообщение и ответим вам как можно скорее. Не могли бы вы мне помочь,
 потому что это больше не работает? Большое спасибо, это всё, что я хотел узнать. Нам сказали, что в этот день
-поездов не будет, поэтому мы остались дома и смотрели фильм. Я жду уже целый час, но никто не пришёл.""",
+поездов не будет, поэтому мы остались дома и смотрели фильм. Я жду уже целый час, но никто не пришёл.
+Где можно найти бланк, который нужно заполнить до понедельника? Она сказала, что встречу перенесли на другой
+день, потому что начальник заболел. Если вы не согласны с этим решением, напишите нам в течение двух недель. В коробке
+ничего не осталось, когда мы её открыли, хотя она была закрыта. Мой брат хочет купить новый телефон, но пока не нашёл
+такой, который ему нравится. Вода в этом городе чистая, и дети летом часто купаются в реке. Можно ли сразу оплатить
+оба билета? Люди, которые живут рядом с вокзалом, говорят, что там стало намного тише. После этого он вышел и не
+сказал, куда пойдёт.""",
     "kk": """Барлық адамдар тумысынан азат және қадір-қасиеті мен құқықтары тең болып дүниеге келеді. Адамдарға
 ақыл-парасат, ар-ождан берілген, сондықтан олар бір-бірімен туыстық, бауырмалдық қарым-қатынас жасаулары тиіс.
 Дүкен сағат нешеде ашылатынын және бұл қанша тұратынын айтыңызшы. Біз сіздің хабарламаңызды алдық және мүмкіндігінше
 тез жауап береміз. Маған көмектесе аласыз ба, өйткені бұл енді жұмыс істемейді? Көп рақмет, білгім келгені осы еді.
-Сол күні пойыз болмайды деді, сондықтан біз үйде қалып, кино көрдік. Мен бір сағаттан бері күтіп отырмын.""",
+Сол күні пойыз болмайды деді, сондықтан біз үйде қалып, кино көрдік. Мен бір сағаттан бері күтіп отырмын.
+Дүйсенбіге дейін толтыруым керек парақты қайдан таба аламын? Ол бастық ауырып қалғандықтан кездесу басқа күнге
+ауыстырылғанын айтты. Егер бұл шешіммен келіспесеңіз, бізге екі апта ішінде жаза аласыз. Қорапты ашқанымызда, ол жабық
+болса да, ішінде ештеңе қалмаған екен. Менің інім жаңа телефон сатып алғысы келеді, бірақ өзіне ұнайтынын әлі тапқан
+жоқ. Бұл қаланың суы таза, жазда балалар өзенге жиі шомылады. Екі билеттің ақысын бірден төлеуге бола ма? Вокзалдың
+жанында тұратын адамдар ол жердің әлдеқайда тыныш болып кеткенін айтады. Содан кейін ол қайда баратынын айтпай шығып
+кетті.""",
     "tr": """Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve
 birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. Lütfen mağazanın saat kaçta açıldığını ve bunun ne
 kadar tutacağını söyleyin. Mesajınızı aldık ve size en kısa zamanda cevap vereceğiz. Bana yardım edebilir misiniz,
 çünkü bu artık çalışmıyor? Çok teşekkür ederim, öğrenmek istediğim buydu. O gün tren olmayacağını söylediler, bu
-yüzden evde kaldık ve film izledik. Bir saattir bekliyorum ama kimse gelmedi. Daha sonra görüşürüz.""",
+yüzden evde kaldık ve film izledik. Bir saattir bekliyorum ama kimse gelmedi. Daha sonra görüşürüz.
+Pazartesiye kadar doldurmam gereken formu nerede bulabilirim? Müdür hasta olduğu için toplantının başka bir güne
+alındığını söyledi. Bu karara katılmıyorsanız iki hafta içinde bize yazabilirsiniz. Kutuyu açtığımızda, kapalı olmasına
+rağmen içinde hiçbir şey kalmamıştı. Kardeşim yeni bir telefon almak istiyor ama henüz beğendiği bir tane bulamadı. Bu
+şehrin suyu temizdir ve çocuklar yazın sık sık nehirde yüzer. İki biletin parasını aynı anda ödemek mümkün mü?
+İstasyonun yakınında oturan insanlar oranın çok daha sessiz olduğunu söylüyor. Ondan sonra hangi yöne gideceğini
+söylemeden dışarı çıktı.""",
     "uz": """Barcha odamlar erkin, qadr-qimmat va huquqlarda teng bo'lib tug'iladilar. Ular aql va vijdon sohibidirlar
 va bir-birlari bilan birodarlarcha muomala qilishlari zarur. Iltimos, do'kon soat nechada ochilishini va bu qancha
 turishini ayting. Biz sizning xabaringizni oldik va imkon qadar tez javob beramiz. Menga yordam bera olasizmi, chunki
 bu endi ishlamayapti? Katta rahmat, bilmoqchi bo'lganim shu edi. O'sha kuni poyezd bo'lmaydi deyishdi, shuning uchun
-biz uyda qolib kino ko'rdik. Men bir soatdan beri kutyapman, lekin hech kim kelmadi. Keyinroq ko'rishamiz.""",
+biz uyda qolib kino ko'rdik. Men bir soatdan beri kutyapman, lekin hech kim kelmadi. Keyinroq ko'rishamiz.
+Dushanbagacha to'ldirishim kerak bo'lgan varaqani qayerdan topsam bo'ladi? U boshliq kasal bo'lib qolgani uchun
+yig'ilish boshqa kunga ko'chirilganini aytdi. Agar bu qarorga rozi bo'lmasangiz, ikki hafta ichida bizga yozishingiz
+mumkin. Qutini ochganimizda, u yopiq bo'lsa ham, ichida hech narsa qolmagan edi. Ukam yangi telefon sotib olmoqchi, ammo
+o'ziga yoqadiganini hali topgani yo'q. Bu shaharning suvi toza, yozda bolalar tez-tez daryoda cho'milishadi. Ikkita
+chiptaning pulini birdaniga to'lash mumkinmi? Vokzal yaqinida yashaydigan odamlar u yer ancha tinch bo'lib qolganini
+aytishadi. Shundan keyin u qaysi tomonga ketishini aytmasdan chiqib ketdi.""",
 }
 
 _TO_CYR = sorted(
@@ -85,14 +123,27 @@ _CYRILLIC = re.compile("[Ѐ-ӿ]")
 
 
 def fold(text: str) -> bytes:
-    """What is compressed: lower case, one apostrophe and one space, without numbers, links and addresses."""
-    text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).lower()
-    return _SPACES.sub(" ", _NOISE.sub("", _APOS.sub("'", text))).strip().encode()
+    """What is compressed: lower case, one apostrophe and one space, without numbers, links, addresses and names.
+
+    Names look alike in every language: words with a capital that do not begin the text are left out,
+    unless most letters would go with them.
+    """
+    text = _APOS.sub("'", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)))
+    all_words = text.split()
+    plain = " ".join(w for i, w in enumerate(all_words) if not i or len(w) < 2 or not w[0].isupper())
+    if 2 * len(_LETTER.findall(plain)) < len(_LETTER.findall(text)):
+        plain = text
+    return _SPACES.sub(" ", _NOISE.sub("", plain.lower())).strip().encode()
 
 
 def to_cyrillic(text: str) -> str:
-    """Uzbek Latin letters in Cyrillic, for the dictionary of that script."""
-    return _LAT.sub(lambda m: _CYR_OF[m[0]], _APOS.sub("'", text.lower()))
+    """Uzbek Latin letters in Cyrillic, for the dictionary of that script; words keep a leading capital."""
+
+    def word(m: re.Match) -> str:
+        w = _LAT.sub(lambda x: _CYR_OF[x[0]], m[0].lower())
+        return w[:1].upper() + w[1:] if m[0][0].isupper() else w
+
+    return re.sub(r"[^\W\d_](?:'?[^\W\d_]|')*", word, _APOS.sub("'", text))
 
 
 def label_language(label: str | None) -> str | None:
@@ -121,12 +172,13 @@ class Model:
                 d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=params)
                 self._compressors.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
-        return [len(c.compress(folded)) for c in self._compressors]
+        return [len(c.compress(PAD + folded)) for c in self._compressors]
 
-    def score(self, text: str) -> tuple[str | None, float]:
+    def score(self, text: str, given: str | None = None) -> tuple[str | None, float]:
         """(language, confidence) of one sentence; None if it has no letters.
 
-        Confidence is the share of bytes that the best other language costs more, from 0 to 1.
+        Confidence is the share of bytes that the best other language costs more, from 0 to 1. Where
+        that is too narrow, ``given`` is taken if it is as near to the best as the runner-up.
         """
         folded = fold(text)
         if not _LETTER.search(folded.decode()):
@@ -135,22 +187,25 @@ class Model:
         for lang, n in zip(self.classes, self.sizes(folded)):
             best[lang] = min(n, best.get(lang, n))
         (lang, a), (_, b) = sorted(best.items(), key=lambda x: (x[1], x[0]))[:2]
+        if (b - a < MARGIN_BYTES or b - a < MARGIN * b) and best.get(given) in (a, b):
+            lang = given
         if b - a < MARGIN_BYTES:
             return lang, min((b - a) / max(b, 1), MARGIN * 0.99)
         return lang, (b - a) / b
 
-    def stretches(self, text: str | None) -> list[tuple[str, float, int, int]]:
+    def stretches(self, text: str | None, given: str | None = None) -> list[tuple[str, float, int, int]]:
         """(language, confidence, first sentence, last sentence) of each longest stretch in one language.
 
         Rejected sentences join the stretch before them, leading ones the first stretch; if all are
-        rejected the whole text is scored at once. A text without letters gives none.
+        rejected the whole text is scored at once, and if that is rejected too the language of its
+        label (``given``) decides among the nearest two. A text without letters gives none.
         """
         sentences = split_sentences(text)
         scores = [self.score(s) for s in sentences]
         if not any(lang for lang, _ in scores):
             return []
         if not any(c >= MARGIN for _, c in scores):
-            lang, c = self.score(" ".join(sentences))
+            lang, c = self.score(" ".join(sentences), given)
             return [(lang, c, 1, len(sentences))]
         out: list[list] = []
         for i, (lang, c) in enumerate(scores, 1):
@@ -165,69 +220,87 @@ class Model:
         return [(lang, float(np.mean(c)), a, b) for lang, c, a, b in out]
 
 
-def _model(texts: dict[str, list[str]]) -> Model:
-    """Dictionaries from texts by class: seeds first, nearest to the end what is most certain."""
-    classes, dictionaries = [], []
-    for name in ("en", "ru", "kk", "tr", "uz", "uz-cyrl"):
-        seed = to_cyrillic(SEEDS["uz"]) if name == "uz-cyrl" else SEEDS[name]
-        lines, size = dict.fromkeys(fold(s) for s in split_sentences(seed)), 0
-        for t in texts.get(name, []):
+CLASSES = ("en", "ru", "kk", "tr", "uz", "uz-cyrl")
+
+
+def _model(sentences: dict[str, dict[bytes, float]]) -> Model:
+    """Dictionaries from certainty by folded sentence and class: seeds first, what is most certain nearest to the end."""
+    size = {n: sum(len(f) + 2 for f in sentences.get(n, ())) for n in CLASSES}
+    budget = min(max(min(size.values()), LEAST_BYTES), DICT_BYTES)
+    dictionaries = []
+    for name in CLASSES:
+        lines = [fold(s) for s in split_sentences(to_cyrillic(SEEDS["uz"]) if name == "uz-cyrl" else SEEDS[name])]
+        taken, left = [], budget
+        for f in sorted(sentences.get(name, {}), key=lambda f: (xxhash.xxh64_intdigest(f), f)):
+            if len(f) + 2 <= left:
+                taken.append(f)
+                left -= len(f) + 2
+        dictionaries.append(b" \n".join(lines + sorted(taken, key=lambda f: (sentences[name][f], f))))
+    return Model([n.split("-")[0] for n in CLASSES], dictionaries)
+
+
+def label_column(label: Column) -> Column:
+    """``label_language`` as a column expression."""
+    codes = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
+    return codes[F.regexp_extract(F.lower(F.trim(label)), r"^\s*([^-_\s.;,(]*)", 1)]
+
+
+def train(df: DataFrame, text: str, label: str, key: str | None = None, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Dictionaries from at most ``sample_rows`` labelled rows, as many per language, drawn by a hash of key and text."""
+    rows = df.where((F.length(F.trim(F.col(text))) > 0) & (F.length(F.col(text)) <= SAMPLE_CHARS)).select(
+        F.col(text).alias("t"), label_column(F.col(label)).alias("l"), F.xxhash64(*([key] if key else []), text).alias("h")
+    )
+    counts = {r[0]: r[1] for r in rows.where("l IS NOT NULL").groupBy("l").count().collect()}
+    each = sample_rows // max(len(LANGUAGE_NAMES), 1)
+    # a hash below the language's share is kept, so that hardly more rows are sorted than are wanted
+    share = F.create_map(*[F.lit(x) for lang, n in (counts or {"": 1}).items() for x in (lang, min(1.0, 1.25 * each / n))])
+    drawn = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("l")] * (1 << 20))
+    out: list[tuple[str, str]] = []
+    for lang in sorted(counts):
+        out += [(r[0], lang) for r in drawn.where(F.col("l") == lang).orderBy("h", "t").limit(each).select("t").collect()]
+    taken = Counter(lang for _, lang in out)
+    return fit(out, {lang: counts[lang] / n for lang, n in taken.items()})
+
+
+def fit(rows: list[tuple[str, str | None]], weights: dict[str, float] | None = None) -> Model:
+    """Dictionaries from (text, label) rows, which may come in any order and repeat; ``weights``: rows that one row of a label stands for.
+
+    Three rounds. In each, a sentence is taken for its row's label if the labels of all rows that hold
+    the sentence agree by majority and the dictionaries of the other half of the rows (halves by hash
+    of the text; at first the seeds alone) choose that language with at least the margin. A wrong
+    label must thus be outvoted or contradicted, and cannot confirm itself.
+    """
+    known = [(t, label_language(given)) for t, given in rows]
+    votes: dict[bytes, Counter] = defaultdict(Counter)
+    found: dict[tuple[int, str, bytes], str] = {}
+    for t, given in known:
+        if given:
+            half = xxhash.xxh64_intdigest(t) & 1
             for s in split_sentences(t):
                 f = fold(s)
-                if f not in lines and size + len(f) <= DICT_BYTES:
-                    lines[f] = None
-                    size += len(f) + 1
-        classes.append(name.split("-")[0])
-        dictionaries.append(b" \n".join(lines))
-    return Model(classes, dictionaries)
-
-
-def train(df: DataFrame, text: str, label: str, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Dictionaries from at most ``sample_rows`` labelled rows, chosen by a hash of their text."""
-    rows = (
-        df.where((F.length(F.trim(F.col(text))) > 0) & (F.length(F.col(text)) <= SAMPLE_CHARS))
-        .select(F.col(text).alias("t"), F.col(label).alias("l"))
-        .orderBy(F.xxhash64("t"), "t", "l").limit(sample_rows).collect()
-    )
-    return fit(rows)
-
-
-def fit(rows: list[tuple[str, str | None]]) -> Model:
-    """Dictionaries from (text, label) rows.
-
-    First the seeds classify whole texts, and those that their label confirms make dictionaries. In
-    two further rounds each half of the rows is judged by dictionaries of the other half, sentence by
-    sentence, so that a wrong label cannot confirm itself; only clear sentences of texts that stay in
-    one language are taken.
-    """
-    seeds = _model({})
-    halves: list[dict[str, list[str]]] = [{}, {}]
-    for i, (t, given) in enumerate(rows):
-        lang, c = seeds.score(t)
-        if lang and lang == label_language(given) and c >= MARGIN:
-            _add(halves[i % 2], lang, t)
-    for _ in range(2):
+                votes[f][given] += (weights or {}).get(given, 1.0)
+                found[half, given, f] = min(s, found.get((half, given, f), s))
+    agreed = {k: s for k, s in found.items() if 2 * votes[k[2]][k[1]] > votes[k[2]].total()}
+    models = [_model({})] * 2
+    for _ in range(3):
+        halves: list[dict[str, dict[bytes, float]]] = [{}, {}]
+        for (half, given, f), s in agreed.items():
+            lang, c = models[1 - half].score(s)
+            if lang == given and c >= MARGIN:
+                _add(halves[half], lang, s, c)
         models = [_model(h) for h in halves]
-        halves = [{}, {}]
-        for i, (t, _given) in enumerate(rows):
-            other = models[1 - i % 2]
-            found = other.stretches(t)
-            if len(found) == 1:
-                for sentence in split_sentences(t):
-                    lang, c = other.score(sentence)
-                    if lang == found[0][0] and c >= 2.5 * MARGIN:
-                        _add(halves[i % 2], lang, sentence)
-    return _model({k: halves[0].get(k, []) + halves[1].get(k, []) for k in halves[0].keys() | halves[1].keys()})
-
-
-def _add(texts: dict[str, list[str]], lang: str, t: str) -> None:
+    return _model({k: halves[0].get(k, {}) | halves[1].get(k, {}) for k in CLASSES})
+
+
+def _add(sentences: dict[str, dict[bytes, float]], lang: str, s: str, certainty: float) -> None:
     """Uzbek goes to the class of its script, and from Latin to both."""
+    forms = [(lang, fold(s))]
     if lang == "uz":
-        if len(_CYRILLIC.findall(t)) * 2 > len(_LETTER.findall(t)):
-            lang = "uz-cyrl"
-        else:
-            texts.setdefault("uz-cyrl", []).append(to_cyrillic(t))
-    texts.setdefault(lang, []).append(t)
+        cyrillic = len(_CYRILLIC.findall(s)) * 2 > len(_LETTER.findall(s))
+        forms = [("uz-cyrl", fold(s))] if cyrillic else [*forms, ("uz-cyrl", fold(to_cyrillic(s)))]
+    for name, f in forms:
+        known = sentences.setdefault(name, {})
+        known[f] = max(certainty, known.get(f, 0.0))
 
 
 def detect(df: DataFrame, key: str, text: str, label: str, model: Model) -> DataFrame:
@@ -247,7 +320,7 @@ def detect(df: DataFrame, key: str, text: str, label: str, model: Model) -> Data
             out: list[tuple] = []
             labels = batch.column(2).to_pylist()
             for i, t in enumerate(batch.column(1).to_pylist()):
-                found = m.stretches(t)
+                found = m.stretches(t, label_language(labels[i]))
                 at += [i] * len(found)
                 n = len({x[0] for x in found})
                 out += [(label_language(labels[i]), n, j, *x) for j, x in enumerate(found, 1)]

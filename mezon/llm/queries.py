@@ -30,7 +30,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "uzdoc", "uzdoc_id", "lang_label", "uz_text")
-    return language.detect(df, "uzdoc_id", "uz_text", "lang_label", language.train(df, "uz_text", "lang_label"))
+    return language.detect(df, "uzdoc_id", "uz_text", "lang_label", language.train(df, "uz_text", "lang_label", "uzdoc_id"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def p6_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = _answers(spark, sf_dir).select(F.col("ord").alias("key"), segment_id(F.col("id")).alias("segment"), F.col("uz_text").alias("text"))
     source = lambda name: _table(spark, sf_dir, name).select(segment_id(F.col("id")).alias("segment"), F.col("en_text").alias("source"))
     texts = _table(spark, sf_dir, "uzdoc", "uzdoc_id", "lang_label", "uz_text")
-    model = language.train(texts, "uz_text", "lang_label")
+    model = language.train(texts, "uz_text", "lang_label", "uzdoc_id")
     return defects.defects(answers, source("benchmark").union(source("refset")), model).withColumnRenamed("key", "ord")
 
 

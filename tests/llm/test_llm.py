@@ -81,6 +81,37 @@ def test_labels_and_table(spark, model):
     assert language.detect(df.limit(0), "lang", "seg_no", "k", model).count() == 0
 
 
+def test_fit_does_not_depend_on_order_or_draw(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/uzdoc.parquet").select("uz_text", "lang_label").orderBy("uzdoc_id").collect()]
+    first = language.fit(rows)
+    random.Random(3).shuffle(rows)
+    assert language.fit(rows).dictionaries == first.dictionaries
+    seeds = language.fit([])
+    for name, a, b in zip(language.CLASSES, first.dictionaries, seeds.dictionaries):
+        assert len(a) > len(b) + 1000, name
+    # halves of the sample, the whole, and twice the whole with other words in it agree on nearly every text
+    grown = rows + [(t.replace("bugun", "ertaga") if t else t, lab) for t, lab in rows]
+    models = [language.fit(r) for r in (rows, rows[:1000], rows[1000:], grown)]
+    answers = [[[x[0] for x in m.stretches(t, language.label_language(lab))] for t, lab in rows[:800]] for m in models]
+    for other in answers[1:]:
+        assert sum(a != b for a, b in zip(answers[0], other)) < 4
+
+
+def test_narrow_margins_fall_back_to_the_label():
+    m = language.fit([])
+    m.sizes = lambda folded: [20, 40, 40, 40, 20, 40]
+    assert m.score("abc def")[1] == 0 and m.score("abc def", "uz")[0] == "uz" and m.score("abc def", "ru")[0] == "en"
+    assert [x[0] for x in m.stretches("abc. def.", "uz")] == ["uz"] and [x[0] for x in m.stretches("abc. def.", "kk")] == ["en"]
+
+
+def test_wrong_labels_are_outvoted():
+    rows = [(t + f" {a}", lang) for lang, t in HELD_OUT.items() for a in ("", "ok", "no")]
+    wrong = [(HELD_OUT["tr"], "uz"), (HELD_OUT["ru"], "kk")]
+    m = language.fit(rows + wrong)
+    assert language.fold(HELD_OUT["tr"]) in m.dictionaries[3] and language.fold(HELD_OUT["tr"]) not in m.dictionaries[4]
+    assert language.fold(HELD_OUT["ru"]) not in m.dictionaries[2]
+
+
 def test_training_without_rows(spark):
     empty = spark.createDataFrame([], "t string, l string")
     assert language.train(empty, "t", "l").score(HELD_OUT["ru"])[0] == "ru"
