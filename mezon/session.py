@@ -23,10 +23,19 @@ def build_session(master: str | None = None, app: str = "mezon", **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where none is set, a master on this one machine gets a temporary folder; a cluster raises, as no
+    folder is known that all executors see.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mezon-cp-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="mezon-cp-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -43,9 +52,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows over at least as many partitions as a shuffle has, for work that costs more than moving the row.
 
-    An input that is already split finely enough is left alone.
+    An input whose estimated size gives that many scan partitions anyway is left alone. The estimate is
+    the optimiser's (file sizes, pruned columns); nothing runs here.
     """
-    n = shuffle_partitions(df.sparkSession)
-    if df.rdd.getNumPartitions() >= n:
+    spark = df.sparkSession
+    n = shuffle_partitions(spark)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if size // split >= n:
         return df
     return df.repartition(n, *keys) if keys else df.repartition(n)
