@@ -663,7 +663,7 @@ def leaderboard(spark, d):
     return board(Inputs(scores(spark, d), n), ITERATIONS)
 
 
-@query(S_GATES.replace("FROM latest l JOIN bench b USING (id)", "FROM candidate l JOIN bench b USING (id)") + "SELECT system, count(*) AS n, count(*) FILTER (passed) AS n_passed FROM g GROUP BY system")
+@query(S_GATES.replace("FROM latest l JOIN bench b USING (id)", "FROM cand l JOIN bench b USING (id)") + "SELECT system, count(*) AS n, count(*) FILTER (passed) AS n_passed FROM g GROUP BY system")
 def stream_gate_counts(spark, d):
     """All deliveries run through the gate stream until nothing is left, then counted."""
     import uuid
