@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from mezon.session import spread
+
 ITERATIONS, SEED = 1000, 13
 
 
@@ -13,29 +21,66 @@ ITERATIONS, SEED = 1000, 13
 POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
 
 
-def _weight(u: Column) -> Column:
-    return sum((F.when(u >= b, 1).otherwise(0) for b in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
+#: Groups whose sums one task holds before it passes them on.
+HELD_GROUPS = 1000
 
 
 def _samples(df: DataFrame, group: list[str], value: str, order: str, iterations: int, seed: int) -> DataFrame:
     """(group, it, n, m): mean of every resample.
 
     Resampling is by independent Poisson weights per row and iteration, the distributed form of
-    drawing with replacement: no group is gathered anywhere, and weighted sums are combined before
-    the shuffle. Weights depend on seed, group, ``order`` (a unique id in the group) and iteration.
+    drawing with replacement: no group is gathered anywhere. Each task adds up one weighted sum per
+    group and iteration, so what is shuffled is groups times iterations, whatever the number of rows.
+    Weights depend on seed, group, ``order`` (a unique id in the group) and iteration: one md5 serves four iterations.
     """
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // 4) - 1))).alias("blk")
-    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(order).cast("string").alias("o"), F.col(value).alias("v"), blocks)
-    # one md5 serves four iterations; the generator keeps it from being computed for each of them
-    hashed = rows.select(*group, "v", "blk", F.md5(F.concat_ws(":", F.lit(str(seed)), F.concat_ws("|", *group), "o", F.col("blk").cast("string"))).alias("h"))
-    part = lambda j: F.struct(F.lit(j).alias("j"), F.conv(F.substring("h", 8 * j + 1, 8), 16, 10).alias("d"))
-    drawn = hashed.select(*group, "v", "blk", F.explode(F.array(*map(part, range(4)))).alias("x"))
-    it = (F.col("blk") * 4 + F.col("x.j")).alias("it")
-    drawn = drawn.select(*group, "v", it, (F.col("x.d").cast("double") / float(1 << 32)).alias("u"))
-    drawn = drawn.select(*group, "v", "it", _weight(F.col("u")).alias("w"))
-    sums = drawn.where("w > 0").groupBy(*group, "it").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("v")).alias("s"))
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"))
-    return sums.where(F.col("it") < iterations).join(sizes, group).select(*group, "it", "n", (F.col("s") / F.col("w")).alias("m"))
+    rows = df.where(F.col(value).isNotNull()).select(F.concat_ws("|", *group).alias("g"), F.col(order).cast("string").alias("o"), F.col(value).cast("double").alias("v"), *group)
+    blocks = [str(b).encode() for b in range(-(-iterations // 4))]
+    bounds = np.array(POISSON)
+
+    def weights(g: str, o: str | None) -> np.ndarray:
+        # as concat_ws: a null order is left out with its separator
+        start = hashlib.md5(f"{seed}:{g}:{o}:".encode() if o is not None else f"{seed}:{g}:".encode())
+        digests = []
+        for b in blocks:
+            h = start.copy()
+            h.update(b)
+            digests.append(h.digest())
+        u = np.frombuffer(b"".join(digests), ">u4")[:iterations] / float(1 << 32)
+        return np.searchsorted(bounds, u, side="right").astype(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        kinds: list[pa.DataType] = []
+
+        def passed_on() -> pa.RecordBatch:
+            keys = list(zip(*held)) if held else [()] * len(group)
+            cols = [pa.array(k, t) for k, t in zip(keys, kinds)]
+            n, w, s = (list(x) for x in zip(*held.values())) if held else ([], [], [])
+            sums = pa.list_(pa.float64())
+            return pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(w, sums), pa.array(s, sums)], names=[*group, "n", "w", "s"])
+
+        for batch in batches:
+            kinds = [batch.column(i).type for i in range(3, batch.num_columns)]
+            for g, o, v, *key in zip(*(c.to_pylist() for c in batch.columns)):
+                w, at = weights(g, o), tuple(key)
+                if at in held:
+                    one = held[at]
+                    one[0] += 1
+                    one[1] += w
+                    one[2] += w * v
+                else:
+                    held[at] = [1, w, w * v]
+            if len(held) > HELD_GROUPS:
+                yield passed_on()
+                held.clear()
+        if held:
+            yield passed_on()
+
+    schema = T.StructType([*(rows.schema[c] for c in group), *T._parse_datatype_string("n bigint, w array<double>, s array<double>")])
+    parts = spread(rows).mapInArrow(run, schema)
+    each = parts.select(*group, "n", F.posexplode(F.arrays_zip("w", "s")).alias("it", "x"))
+    sums = each.groupBy(*group, "it").agg(F.sum("n").alias("n"), F.sum("x.w").alias("w"), F.sum("x.s").alias("s"))
+    return sums.where("w > 0").select(*group, "it", "n", (F.col("s") / F.col("w")).alias("m"))
 
 
 def bootstrap_ci(df: DataFrame, group: list[str], value: str, order: str, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:

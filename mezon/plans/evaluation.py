@@ -626,7 +626,28 @@ def ref_degenerate(spark, d):
     return _ref_pairs(spark, d).groupBy("system").agg(F.count_if(bad).alias("n_degenerate"), F.count("*").alias("n"))
 
 
-@query()
+_PUNCT = r"!\"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+
+
+def _s_chrf_tokens(x: str) -> str:
+    last = f"length(w) > 1 AND regexp_matches(w, '[{_PUNCT}]$')"
+    first = f"length(w) > 1 AND regexp_matches(w, '^[{_PUNCT}]')"
+    return f"flatten(list_transform({s_words(x)}, lambda w: CASE WHEN {last} THEN [w[:-2], w[-1]] WHEN {first} THEN [w[1], w[2:]] ELSE [w] END))"
+
+
+_S_CHRF = f""", tk AS (SELECT system, id, regexp_replace(hyp, '{W}+', '', 'g') AS hc, regexp_replace(ref, '{W}+', '', 'g') AS rc, {_s_chrf_tokens('hyp')} AS hw, {_s_chrf_tokens('ref')} AS rw FROM pr),
+g AS (SELECT system, id, 'c' || k AS kind, unnest(list_concat(list_transform(range(1, length(hc) - k + 2), lambda i: {{'s': 0, 'g': substr(hc, i, k)}}), list_transform(range(1, length(rc) - k + 2), lambda i: {{'s': 1, 'g': substr(rc, i, k)}}))) AS x
+  FROM (SELECT *, unnest([1, 2, 3, 4, 5, 6]) AS k FROM tk)
+  UNION ALL SELECT system, id, 'w' || k, unnest(list_concat(list_transform(range(1, len(hw) - k + 2), lambda i: {{'s': 0, 'g': array_to_string(hw[i:i + k - 1], ' ')}}), list_transform(range(1, len(rw) - k + 2), lambda i: {{'s': 1, 'g': array_to_string(rw[i:i + k - 1], ' ')}})))
+  FROM (SELECT *, unnest([1, 2]) AS k FROM tk)),
+c AS (SELECT system, id, kind, x.g AS gram, count(*) FILTER (x.s = 0) AS h, count(*) FILTER (x.s = 1) AS r FROM g GROUP BY ALL),
+pp AS (SELECT system, id, kind, CASE WHEN sum(r) > 0 THEN sum(h) ELSE 0 END AS h, sum(r) AS r, sum(least(h, r)) AS m FROM c GROUP BY ALL),
+k AS (SELECT system, kind, sum(h) AS h, sum(r) AS r, sum(m) AS m FROM pp GROUP BY ALL HAVING sum(h) > 0 AND sum(r) > 0),
+f AS (SELECT system, avg(m / h) AS p, avg(m / r) AS r FROM k GROUP BY system)
+SELECT system, round(CASE WHEN 4 * p + r > 0 THEN 100 * 5 * p * r / (4 * p + r) ELSE 0 END, 2) AS chrf_pp FROM f"""
+
+
+@query(_S_REF + _S_CHRF)
 def chrf_pp(spark, d):
     return metrics.chrf_pp(_ref_pairs(spark, d), ["system"], "hyp", "ref")
 

@@ -110,6 +110,20 @@ def brute_chrf(pairs):
     return 100 * 5 * p * r / (4 * p + r) if p + r else 0.0
 
 
+def test_chrf_tokens():
+    assert metrics.chrf_tokens('Salom, "dunyo" (x) . -5%') == ["Salom", ",", '"dunyo', '"', "(x", ")", ".", "-5", "%"]
+    assert metrics.chrf_tokens("«a» 'b") == ["«a»", "'", "b"] and metrics.chrf_tokens(" ") == []
+
+
+def test_metrics_of_odd_texts(spark):
+    rows = [("a", "1", None, "uch tort"), ("a", "2", "bir", ""), ("b", "1", "", ""), ("c", "1", "bir ikki uch tort", "bir ikki uch tort"), ("c", "1", "bir ikki uch tort", "bir ikki uch tort")]
+    df = spark.createDataFrame(rows, "system string, id string, hyp string, ref string")
+    got = {r["system"]: r["chrf_pp"] for r in metrics.chrf_pp(df, ["system"], "hyp", "ref").collect()}
+    assert got == {"c": 100.0}  # nothing to compare gives no row
+    assert {r["system"]: r["bleu"] for r in metrics.bleu(df, ["system"], "hyp", "ref").collect()}["c"] == 100.0
+    assert metrics.chrf_pp(df.limit(0), ["system"], "hyp", "ref").count() == 0
+
+
 def test_chrf_and_bleu(spark):
     rng = random.Random(6)
     words = "bir ikki uch tort besh olti".split()
