@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,6 +135,31 @@ S_SEGMENTS = S_TURNS + """,
 ctx AS (SELECT *, last_value(nullif(text, '') IGNORE NULLS) OVER (PARTITION BY dialogue_idx ORDER BY turn_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context_prev FROM turns),
 segs AS (SELECT * FROM ctx WHERE coalesce(role, '') <> 'system' AND text <> '')"""
 
+S_EDGE = rf"(regexp_matches(text, '\b[A-Z]{{{{6,}}}}\b') OR regexp_matches(text, '(?i){ent.PROFANITY}'))".replace("{{", "{").replace("}}", "}")
+S_LENGTH = f"len({s_words('text')}) <= 400 AND (len({s_words('text')}) >= 3 OR {S_EDGE})"
+# the entity patterns in the syntax of this engine, whose \d, \w and \s are ASCII
+_S_PATTERNS = [
+    r"\{\{.*?\}\}",
+    r"https?://[^\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+",
+    r"[\p{L}\p{M}\p{Nd}\p{Pc}.+-]+@[\p{L}\p{M}\p{Nd}\p{Pc}-]+\.[\p{L}\p{M}\p{Nd}\p{Pc}.-]+",
+    r"\+?\p{Nd}[\p{Nd}\s\p{Z}()\-]{5,}\p{Nd}",
+    r"\p{Nd}{1,3}(?:[.,]\p{Nd}+)+",
+    r"\p{Nd}{3,}",
+]
+# spans of every pattern by place, then the earliest, of several at one place the longest, none overlapping
+S_SPANS = S_SEGMENTS + """,
+hits AS (""" + " UNION ALL ".join(
+    f"SELECT dialogue_idx, turn_idx, unnest(list_zip(regexp_split_to_array(text, '{p}'), regexp_extract_all(text, '{p}'))) AS z, {n} AS pat, generate_subscripts(regexp_split_to_array(text, '{p}'), 1) AS i FROM segs WHERE regexp_matches(text, '{p}')"
+    for n, p in enumerate(_S_PATTERNS)
+) + """),
+placed AS (SELECT dialogue_idx, turn_idx, z[2] AS hit, (sum(length(z[1]) + coalesce(length(z[2]), 0)) OVER (PARTITION BY dialogue_idx, turn_idx, pat ORDER BY i) - coalesce(length(z[2]), 0))::BIGINT AS start FROM hits),
+listed AS (SELECT dialogue_idx, turn_idx, list({'start': start, 'stop': start + length(hit), 'hit': hit} ORDER BY start, length(hit) DESC, hit) AS l FROM placed WHERE hit IS NOT NULL GROUP BY ALL),
+spans AS (SELECT dialogue_idx, turn_idx, list_reduce(list_prepend(l[:0], list_transform(l, lambda x: [x])), lambda acc, x: CASE WHEN len(acc) = 0 OR x[1].start >= acc[-1].stop THEN list_concat(acc, x) ELSE acc END) AS spans FROM listed),
+found AS (SELECT s.*, coalesce(p.spans, []) AS spans FROM segs s LEFT JOIN spans p USING (dialogue_idx, turn_idx))"""
+_S_PRESERVE = rf"array_to_string(list_sort(list_distinct(list_concat(list_filter(list_transform(spans, lambda x: x.hit), lambda e: NOT regexp_full_match(e, '{_S_PATTERNS[4]}')), regexp_extract_all(text, '\b[A-Z]{{6,}}\b')))), '|')"
+_S_CATEGORY = f"""CASE WHEN {S_EDGE} THEN 'edge' WHEN len(spans) > 0 THEN 'tool_spoken' WHEN role = 'assistant' AND len({s_words('text')}) >= {ent.KB_MIN_WORDS} THEN 'kb_passage'
+ WHEN role = 'assistant' THEN 'agent_reply' ELSE 'caller_turn' END"""
+
 # --- gates --------------------------------------------------------------------------------------
 
 
@@ -219,7 +246,7 @@ def last_score(spark, d):
     return dedupe.last_score(x, ["run_id", "system", "id"], "score", F.col("score"))
 
 
-@query(S_SEGMENTS + f""", k AS (SELECT *, lower(array_to_string({s_words('text')}, ' ')) AS k FROM segs WHERE len({s_words('text')}) BETWEEN 3 AND 400)
+@query(S_SEGMENTS + f""", k AS (SELECT *, lower(array_to_string({s_words('text')}, ' ')) AS k FROM segs WHERE {S_LENGTH})
 SELECT dialogue_idx, turn_idx, text FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dialogue_idx, turn_idx) AS rn FROM k) WHERE rn = 1""")
 def dedupe_first_text(spark, d):
     s = segments(spark, d).where(of_length(F.col("text"), tx.word_count(F.col("text"))))
@@ -239,7 +266,7 @@ def prev_context(spark, d):
     return segments(spark, d).select("dialogue_idx", "turn_idx", "context_prev")
 
 
-@query(S_SEGMENTS + f"SELECT dialogue_idx, turn_idx, n_words FROM (SELECT *, len({s_words('text')})::INT AS n_words FROM segs) WHERE n_words <= 400 AND n_words >= 3")
+@query(S_SEGMENTS + f"SELECT dialogue_idx, turn_idx, len({s_words('text')})::INT AS n_words FROM segs WHERE {S_LENGTH}")
 def length_filter(spark, d):
     return segments(spark, d).withColumn("n_words", tx.word_count(F.col("text"))).where(of_length(F.col("text"), F.col("n_words"))).select("dialogue_idx", "turn_idx", "n_words")
 
@@ -250,13 +277,18 @@ def placeholders(spark, d):
     return s.where(F.size("placeholders") > 0)
 
 
-@query()
+@query(S_SPANS + f" SELECT dialogue_idx, turn_idx, {_S_PRESERVE} AS preserve FROM found")
 def preserve_entities(spark, d):
-    """Recomputed must-survive tokens of every segment (masking is not expressible in the oracle's SQL)."""
+    """Recomputed must-survive tokens of every segment."""
     return segments(spark, d).select("dialogue_idx", "turn_idx", F.array_join(ent.preserve(F.col("text")), "|").alias("preserve"))
 
 
-@query()
+_S_TOKEN = "'Xq' || CASE WHEN i < 26 THEN chr(65 + i) WHEN i < 702 THEN chr(64 + i // 26) || chr(65 + i % 26) ELSE chr(64 + (i - 26) // 676) || chr(65 + (i - 26) // 26 % 26) || chr(65 + i % 26) END || 'qX'"
+
+
+@query(S_SPANS + f""", tok AS (SELECT *, list_transform(spans, lambda x, k: {re.sub(r'\bi\b', '(k - 1)::INT', _S_TOKEN)}) AS tokens FROM found)
+SELECT dialogue_idx, turn_idx, array_to_string(list_transform(range(0, len(spans) + 1), lambda k: substr(text, CASE WHEN k = 0 THEN 1 ELSE spans[k].stop + 1 END,
+  CASE WHEN k = len(spans) THEN length(text) + 1 ELSE spans[k + 1].start - CASE WHEN k = 0 THEN 0 ELSE spans[k].stop END END) || coalesce(tokens[k + 1], '')), '') AS masked, true AS restored FROM tok""")
 def masked_segments(spark, d):
     """Every segment masked and unmasked again; ``restored`` tells whether the round trip gave the text back."""
     s = segments(spark, d).select("dialogue_idx", "turn_idx", "text", ent.mask(F.col("text")).alias("m"))
@@ -264,7 +296,7 @@ def masked_segments(spark, d):
     return s.select("dialogue_idx", "turn_idx", F.col("m.masked").alias("masked"), (back == F.col("text")).alias("restored"))
 
 
-@query()
+@query(S_SPANS + f" SELECT dialogue_idx, turn_idx, {_S_CATEGORY} AS category FROM found")
 def categorize(spark, d):
     return segments(spark, d).select("dialogue_idx", "turn_idx", ent.category(F.col("role"), F.col("text")).alias("category"))
 
@@ -280,7 +312,9 @@ def benchmark_built(spark, d):
     )
 
 
-@query()
+@query(S_SPANS + f""", k AS (SELECT *, lower(array_to_string({s_words('text')}, ' ')) AS k, {_S_CATEGORY} AS category FROM found WHERE {S_LENGTH})
+SELECT source || '-' || lpad(dialogue_idx::VARCHAR, greatest(6, length(dialogue_idx::VARCHAR))::INT, '0') || '-t' || turn_idx AS id, source AS section, domain, category, text AS en_text, context_prev,
+ {_S_PRESERVE} AS preserve, length(text)::INT AS char_len, len({s_words('text')})::INT AS word_len FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dialogue_idx, turn_idx) AS rn FROM k) WHERE rn = 1""")
 def build_benchmark(spark, d):
     return benchmark_built(spark, d).withColumn("preserve", F.array_join("preserve", "|"))
 
@@ -542,9 +576,33 @@ def worked_examples(spark, d):
 # --- chunks ---------------------------------------------------------------------------------------
 
 
-@query()
+def _s_sentences(x: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?…]){W}+|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda y: {s_strip('y')}), lambda y: y <> '')"
+
+
+def _s_split(sents: str) -> str:
+    """As many groups of about equal length as ``k`` says: a fold over sentences that carries the closed groups and the open one."""
+    items = f"list_transform(range(1, len({sents}) + 1), lambda i: [{{'t': {sents}[i], 'c': list_sum(list_transform({sents}[:i], lambda y: length(y)))::BIGINT, 'i': i, 'open': true}}])"
+    base, text = "CASE WHEN acc[-1].open THEN acc[:-2] ELSE acc END", "CASE WHEN acc[-1].open THEN acc[-1].t || ' ' || x[1].t ELSE x[1].t END"
+    total = f"list_sum(list_transform({sents}, lambda y: length(y)))"
+    done = f"len({base}) < k - 1 AND (x[1].c * k >= (len({base}) + 1) * {total} OR len({sents}) - x[1].i <= k - len({base}) - 1)"
+    step = f"list_concat({base}, [{{'t': {text}, 'c': x[1].c, 'i': x[1].i, 'open': NOT ({done})}}])"
+    return f"list_transform(list_reduce(list_prepend(({items})[1][:0], {items}), lambda acc, x: {step}), lambda y: y.t)"
+
+
+_S_PACK = f"""list_reduce(list_prepend([{{'t': '', 'n': 0::BIGINT}}][:0], list_transform(es, lambda y: [{{'t': y, 'n': len({s_words('y')})::BIGINT}}])),
+ lambda acc, x: CASE WHEN len(acc) > 0 AND acc[-1].n + x[1].n <= {chunking.MAX_WORDS} THEN list_concat(acc[:-2], [{{'t': acc[-1].t || ' ' || x[1].t, 'n': acc[-1].n + x[1].n}}]) ELSE list_concat(acc, x) END)"""
+
+
+@query(S_LATEST + f""", p AS (SELECT l.run_id, l.system, l.id, b.en_text AS en, l.uz_text AS uz, {_s_sentences('b.en_text')} AS e0, {_s_sentences('l.uz_text')} AS u0 FROM latest l JOIN bench b USING (id) WHERE {s_strip("coalesce(l.uz_text, '')")} <> ''),
+s AS (SELECT *, CASE WHEN len(e0) > 0 THEN e0 ELSE [en] END AS es, CASE WHEN len(u0) > 0 THEN u0 ELSE [uz] END AS us, len({s_words('en')}) AS words FROM p),
+k AS (SELECT *, list_transform({_S_PACK}, lambda y: y.t) AS packed FROM s),
+few AS (SELECT *, least(len(packed), len(us)) AS k FROM k),
+c AS (SELECT run_id, system, id, CASE WHEN words <= {chunking.MAX_WORDS} OR len(es) < 2 OR len(us) < 2 OR k < 2 THEN [en] WHEN len(packed) = k THEN packed ELSE {_s_split('es')} END AS src,
+ CASE WHEN words <= {chunking.MAX_WORDS} OR len(es) < 2 OR len(us) < 2 OR k < 2 THEN [uz] ELSE {_s_split('us')} END AS mt FROM few)
+SELECT run_id, system, id, (i - 1)::INT AS chunk_no, src[i] AS src, mt[i] AS mt, len({s_words('src[i]')})::INT AS n_words FROM (SELECT *, unnest(range(1, len(src) + 1)) AS i FROM c)""")
 def chunk_sentences(spark, d):
-    """Chunks of every latest answer with its source (greedy folds are not expressible in the oracle's SQL)."""
+    """Chunks of every latest answer with its source."""
     p = pairs(spark, d).where(tx.strip(F.coalesce("uz_text", F.lit(""))) != "")
     chunks = F.posexplode(chunking.chunk_pairs(F.col("en_text"), F.col("uz_text"))).alias("chunk_no", "c")
     return p.select("run_id", "system", "id", chunks).select("run_id", "system", "id", "chunk_no", "c.src", "c.mt", tx.word_count(F.col("c.src")).alias("n_words"))
@@ -675,13 +733,26 @@ def run_health(spark, d):
 # --- report and streaming -----------------------------------------------------------------------------
 
 
-@query()
+_S_BOARD = f"""{S_SHARED}, paired AS (SELECT a.system, a.id, a.score - b.score AS diff FROM scores a JOIN scores b ON a.id = b.id AND b.system = '{BASELINE}' WHERE a.system <> '{BASELINE}')
+{_s_samples('scores', 'system', 'score', 'id')}, o AS (SELECT system, list_sort(list(m)) AS ms FROM means GROUP BY system)
+{re.sub(r"\b(rows|blk|h|j|u|wt|means) AS \(", r"p_\1 AS (", re.sub(r"FROM (rows|blk|h|j|u|wt|means)\b", r"FROM p_\1", _s_samples('paired', 'system', 'diff', 'id')))},
+tot AS (SELECT system, count(*) AS n, sum(diff) AS total, count(*) FILTER (diff > 0.01) AS w, count(*) FILTER (diff < -0.01) AS l, count(*) FILTER (abs(diff) <= 0.01) AS t FROM paired GROUP BY system),
+pv AS (SELECT system, round(avg((m <= 0)::INT), 4) AS p FROM p_means GROUP BY system),
+mean AS (SELECT system, count(*) AS n, round(avg(score), 8) AS qe, round(sum(score) / (SELECT count(DISTINCT id) FROM benchmark), 8) AS zero FROM scores GROUP BY system),
+pm AS (SELECT system, round(avg(score), 8) AS paired, count(*) AS n_shared FROM scores WHERE id IN (SELECT id FROM shared) GROUP BY system)
+SELECT mean.system, mean.n, qe, zero, paired, n_shared, CASE WHEN mean.n >= 2 THEN round(ms[26], 4) END AS ci_low, CASE WHEN mean.n >= 2 THEN round(ms[976], 4) END AS ci_high,
+ CASE WHEN tot.n IS NULL OR tot.n < 2 THEN NULL WHEN total <= 0 THEN 1.0 ELSE p END AS p, w, l, t
+FROM mean LEFT JOIN pm USING (system) LEFT JOIN o USING (system) LEFT JOIN tot ON tot.system = mean.system LEFT JOIN pv ON pv.system = mean.system"""
+
+
+@query(_S_BOARD)
 def leaderboard(spark, d):
     """The board of the report: means, intervals, p against the baseline, wins, losses and ties by system."""
     from mezon.plans.leaderboard import Inputs, board
 
     n = read(spark, d, "benchmark").select("id").distinct().count()
-    return board(Inputs(scores(spark, d), n), ITERATIONS)
+    b = board(Inputs(scores(spark, d), n), ITERATIONS)
+    return b.withColumns({c: F.round(c, 8) for c in ("qe", "zero", "paired")})
 
 
 @query(S_GATES.replace("FROM latest l JOIN bench b USING (id)", "FROM cand l JOIN bench b USING (id)") + "SELECT system, count(*) AS n, count(*) FILTER (passed) AS n_passed FROM g GROUP BY system")
