@@ -123,7 +123,7 @@ def test_training_without_rows(spark):
 def brute_leak(text, item, share=0.6):
     w, m = leakage.words(text), leakage.words(item)
     need = -(-len(m) * 6 // 10)
-    near = lambda a, b: a == b or min(len(a), len(b)) >= 4 and not a.isdigit() and leakage.within_edits(a, b, 2 if len(a) >= 8 else 1)
+    near = lambda a, b: a == b or 4 <= min(len(a), len(b)) and not a.isdigit() and leakage.within_edits(a, b, 2 if len(a) >= 8 else 1)
     best = {}
     for i, x in enumerate(w):
         for j in [j for j, y in enumerate(m) if near(x, y)]:
@@ -161,9 +161,41 @@ def test_pruning_loses_nothing():
     texts = [(n, rng.choices(vocab, k=rng.randrange(3, 25))) for n in range(70)]
     ix = leakage.ItemIndex(texts, 0.6)
     for _ in range(200):
-        terms = np.array([ix.term(w) for w in rng.choices(vocab, k=40)])
-        kept = set(ix.retrieve(terms).tolist())
-        assert {e for e in range(70) if ix.holds(terms, e)} <= kept
+        places, terms, _ = ix.read(" ".join(rng.choices(vocab, k=40)))
+        for g in ix.groups:
+            kept = set(g.retrieve(terms).tolist())
+            assert {e for e in range(len(g.ids)) if g.holds(places.tolist(), terms.tolist(), e)} <= kept
+
+
+def test_leaks_with_wide_gaps_at_every_place():
+    rng = random.Random(21)
+    item = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(20)]
+    long = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    ix = leakage.ItemIndex([("A", item), ("B", item[:3]), ("long", long)], 0.6)
+    for k in range(leakage.GAP + 2):
+        passage = [x for w in item[:12] for x in [w, *["zz"] * k]]
+        for shift in range(0, 400, 23):
+            text = " ".join(["qq"] * shift + passage + ["qq"] * (400 - shift))
+            assert ("A" in ix.leaked(text)) == (k <= leakage.GAP), (k, shift)
+            assert brute_leak(text, " ".join(item)) == (k <= leakage.GAP)
+    assert ix.leaked(" ".join(x for w in long[50:230] for x in (w, *["zz"] * 8))) == {"long"}
+
+
+def test_leaks_do_not_depend_on_other_items():
+    rng = random.Random(22)
+    item = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(12)]
+    slips = [w[:4] + "z" + w[5:] for w in item]
+    other = [w[:4] + "z" + w[5:] for w in item] + ["unrelated"] * 12
+    assert leakage.ItemIndex([("A", item)], 0.6).leaked(" ".join(slips)) == {"A"}
+    assert "A" in leakage.ItemIndex([("A", item), ("C", other)], 0.6).leaked(" ".join(slips))
+
+
+def test_leaks_in_parts_are_the_same(spark, monkeypatch):
+    docs, items = table(spark, "documents").select("doc_id", "text").where("doc_id % 3 = 0"), table(spark, "refset").select("id", "en_text", "uz_text")
+    run = lambda: {tuple(r) for r in leakage.leaks(docs, "doc_id", "text", items, "id", ["en_text", "uz_text"]).collect()}
+    whole = run()
+    monkeypatch.setattr(leakage, "PART_CHARS", 20_000)
+    assert whole and run() == whole
 
 
 # --- 1: alignment -------------------------------------------------------------------------------
