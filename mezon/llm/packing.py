@@ -31,11 +31,13 @@ def closest_subset(counts: dict[int, int], room: int) -> dict[int, int]:
     """How many of each length to take so that the sum is as near to ``room`` as possible, not above.
 
     Bit s of the bitset is set if sum s can be reached; counts are split into powers of two, so one
-    length costs a logarithmic number of shifts. Longer lengths are preferred in backtracking.
+    length costs a logarithmic number of shifts. Lengths enter from the longest on until the room can
+    be filled exactly, and backtracking takes the last ones only where it must: of equally good
+    subsets one of long items is taken, so that short ones are left to fill gaps later.
     """
     mask = (1 << (room + 1)) - 1
     reach, steps = 1, []
-    for length in sorted(counts):
+    for length in sorted(counts, reverse=True):
         left, part = min(counts[length], room // length), 1
         while left > 0:
             take = min(part, left)
@@ -43,7 +45,7 @@ def closest_subset(counts: dict[int, int], room: int) -> dict[int, int]:
             reach |= (reach << (take * length)) & mask
             left -= take
             part *= 2
-        if reach == mask:
+        if reach >> room & 1:
             break
     total, out = reach.bit_length() - 1, {}
     for length, take, before in reversed(steps):
