@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mezon.functions.pytext import APOSTROPHES, INVISIBLE, UZ_CYRILLIC
 from mezon.llm import bitext, defects, language, leakage, packing, repetition, splitting, subjects
 from mezon.operators.exact_dedup import segment_id
 from mezon.session import cut
@@ -46,7 +47,7 @@ def _repetition_model(spark: SparkSession, sf_dir: str) -> repetition.Regression
     answers = _answers(spark, sf_dir).select("ord", "run_id", "system", segment_id(F.col("id")).alias("segment"), F.col("uz_text").alias("text"))
     references = _table(spark, sf_dir, "refset").where("uz_text IS NOT NULL").select(segment_id(F.col("id")).alias("segment"), F.col("uz_text").alias("reference"))
     counts = _table(spark, sf_dir, "chrf_flores", "run_id", "system", "degenerate")
-    return repetition.Regression.train(*repetition.labelled_rows(answers, references, counts))
+    return repetition.Regression.train(*repetition.training_set(repetition.labelled_rows(answers, references, counts)))
 
 
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("repeated_share >= 0.5").select("ord")
 
 
+def p4_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact share of every delivery with a text, to four places."""
+    scored = repetition.measure(_answers(spark, sf_dir), "ord", "uz_text", repetition.Regression())
+    return scored.select("ord", F.round("repeated_share", 4).alias("repeated_share"))
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(_table(spark, sf_dir, "benchmark", "id", "en_text"), "id", "en_text")
 
@@ -82,6 +89,24 @@ def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on the sequences: what must hold of them, and whether there are no more than the tokens need and one."""
+    packed = cut(p7_sequences(spark, sf_dir))
+    per = packed.groupBy("seq_no").agg(F.sum("n_tokens").alias("n")).agg(
+        F.count_if(F.col("n") > 2048).alias("n_overfull"), (F.max("seq_no") - F.count("*")).alias("n_unused"), F.count("*").alias("n_sequences")
+    )
+    docs = packed.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.count_distinct("piece_no").alias("distinct"), F.max("piece_no").alias("last"), F.min("n_tokens").alias("least"), F.sum("n_tokens").alias("tokens"),
+    )
+    whole = docs.agg(
+        F.count("*").alias("n_docs"), F.count_if((F.col("n") != F.col("distinct")) | (F.col("n") != F.col("last"))).alias("n_broken"),
+        F.count_if((F.col("n") > 1) & (F.col("tokens") <= 2048)).alias("n_split_without_need"), F.sum("tokens").alias("tokens"),
+    )
+    # both are one row
+    both = F.broadcast(per).join(F.broadcast(whole))
+    return both.select("n_docs", "n_overfull", "n_unused", "n_broken", "n_split_without_need", (F.col("n_sequences") <= F.ceil(F.col("tokens") / 2048) + 1).alias("full"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "refset", "id", "en_text", "uz_text")
     return leakage.leaks(docs, "doc_id", "text", items, "id", ["en_text", "uz_text"])
@@ -121,19 +146,53 @@ QUERIES = {
     "p2_segments": p2_segments,
     "p4_found": p4_found,
     "p4_shares": p4_shares,
+    "p4_repeated": p4_repeated,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p6_labels": p6_labels,
     "p7_sequences": p7_sequences,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
 }
 
 _SPACE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+"
+
+
+def _s_letters(x: str) -> str:
+    """Letters of a text in Latin script, as ``repetition.letters`` joins them."""
+    x = f"lower(regexp_replace({x}, '[{APOSTROPHES.replace(chr(39), chr(39) * 2)}{INVISIBLE}]', '', 'g'))"
+    x = f"regexp_replace(regexp_replace({x}, '(^|[^\\p{{L}}])е', '\\1ye', 'g'), '([аеёиоуўэюяъ])е', '\\1ye', 'g')"
+    for cyrillic, latin in UZ_CYRILLIC.items():
+        x = f"replace({x}, '{cyrillic}', '{latin}')"
+    return f"regexp_replace({x}, '[^\\p{{L}}]+', '', 'g')"
+
+
+_N = repetition.PASSAGE
+# windows of PASSAGE letters; those seen before cover their letters, overlapping ones once
+_S_SHARES = f"""WITH l AS (SELECT ord, {_s_letters('uz_text')} AS s FROM candidate WHERE uz_text IS NOT NULL),
+w AS (SELECT ord, i, substr(s, i, {_N}) AS g FROM (SELECT ord, s, unnest(range(1, length(s) - {_N} + 2)) AS i FROM l)),
+again AS (SELECT ord, i FROM (SELECT ord, i, row_number() OVER (PARTITION BY ord, g ORDER BY i) AS n FROM w) WHERE n > 1),
+c AS (SELECT ord, sum(n) AS n FROM (SELECT ord, least({_N}, coalesce(i - lag(i) OVER (PARTITION BY ord ORDER BY i), {_N})) AS n FROM again) GROUP BY ord),
+shares AS (SELECT ord, CASE WHEN s = '' THEN 0.0 ELSE coalesce(n, 0) / length(s) END AS share FROM l LEFT JOIN c USING (ord))"""
+_S_ENDS = f"""(SELECT id, t, w, g, list_filter(range(1, len(w) + 1), lambda i: i = len(w) OR contains(g[i], chr(10)) OR contains(g[i], chr(13))
+  OR regexp_matches(w[i], '[.!?…]["''”’»)\\]}}]*$')) AS ends
+  FROM (SELECT id, t, regexp_split_to_array(t, '{_SPACE}') AS w, regexp_extract_all(t, '{_SPACE}') AS g FROM (SELECT DISTINCT id, regexp_replace(en_text, '^{_SPACE}|{_SPACE}$', '', 'g') AS t, en_text FROM benchmark WHERE en_text IS NOT NULL) WHERE t <> ''))"""
 ORACLE = {
+    "p4_found": _S_SHARES + " SELECT ord FROM shares WHERE share >= 0.5",
+    "p4_repeated": _S_SHARES + " SELECT ord, round(share, 4) AS repeated_share FROM shares",
     "p5_found": f"""
 SELECT DISTINCT id FROM benchmark
 WHERE len(list_filter(regexp_split_to_array(en_text, '{_SPACE}'), lambda w: w <> '')) > 80""",
+    "p5_pieces": f"""
+WITH RECURSIVE x AS {_S_ENDS},
+cut AS (SELECT row_number() OVER () AS r, * FROM x),
+p AS (SELECT r, 1 AS no, 0 AS a, CASE WHEN len(w) <= 80 THEN len(w) ELSE coalesce(list_max(list_filter(ends, lambda e: e <= 80 AND e > 12)), 80) END AS b FROM cut
+  UNION ALL SELECT r, no + 1, b - 12, CASE WHEN len(w) - (b - 12) <= 80 THEN len(w) ELSE coalesce(list_max(list_filter(ends, lambda e: e <= b - 12 + 80 AND e > b)), b - 12 + 80) END
+  FROM p JOIN cut USING (r) WHERE b < len(w))
+SELECT id, no::BIGINT AS piece_no, a::BIGINT AS first_word, (b - a)::BIGINT AS n_words, count(*) OVER (PARTITION BY r) AS n_pieces,
+  array_to_string(list_transform(range(a + 1, b + 1), lambda i: w[i] || CASE WHEN i < b THEN g[i] ELSE '' END), '') AS piece FROM p JOIN cut USING (r)""",
+    "p7_fill": "SELECT count(DISTINCT doc_id) AS n_docs, 0::BIGINT AS n_overfull, 0::BIGINT AS n_unused, 0::BIGINT AS n_broken, 0::BIGINT AS n_split_without_need, true AS full FROM documents",
 }

@@ -329,6 +329,21 @@ def test_regression_on_held_out_rows():
     assert repetition.Regression.train(["a"], [True]).probability(["a"]) == 1.0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_regression_alone_names_the_repeated_answers(spark, sf):
+    m = queries._repetition_model(spark, f"/root/testdata/{sf}")
+    texts = [r[0] for r in spark.read.parquet(f"/root/testdata/{sf}/candidate.parquet").where("uz_text IS NOT NULL").select("uz_text").distinct().collect()]
+    named = {t for t in texts if m.probability(repetition.letters(t)) >= 0.5}
+    true = {t for t in texts if repetition.repeated_share(repetition.letters(t)) >= 0.5}
+    assert m.weights is not None and len(named & true) >= 0.95 * len(true) and len(named & true) >= 0.95 * len(named)
+
+
+def test_training_set_has_both_kinds():
+    texts, labels = repetition.training_set(["bir ikki uch tort besh olti yetti sakkiz toqqiz on"])
+    assert 0 < sum(labels) < len(labels) and len(set(texts)) == len(texts)
+    assert repetition.training_set([]) == ([], []) and repetition.Regression.train([], []).probability(["a"]) == 1.0
+
+
 def test_threshold_loses_no_repeated_answer(spark):
     got = {r[0] for r in queries.p4_found(spark, SF).collect()}
     rows = table(spark, "candidate").where("uz_text IS NOT NULL").select("ord", "uz_text").collect()
@@ -366,6 +381,12 @@ def test_plan_uses_every_item_once():
     with pytest.raises(ValueError):
         packing.plan({101: 1}, 100)
     assert packing.plan({}, 100) == []
+    # lengths as texts have them, many short and some of nearly a whole sequence: no sequence more than the sum needs
+    texts = {}
+    for _ in range(6000):
+        n = min(2048, int(rng.lognormvariate(4.6, 1.0)) + 1)
+        texts[n] = texts.get(n, 0) + 1
+    assert sum(times for _, times in packing.plan(texts, 2048)) == -(-sum(n * c for n, c in texts.items()) // 2048)
 
 
 def test_pack_table(spark):
