@@ -43,6 +43,8 @@ MOST_COVERED = 0.62
 REST_SHARE = 0.2
 #: Lexicons up to this size are broadcast; larger ones are joined to the documents.
 BROADCAST_ROWS = 3_000_000
+#: Word pairs of a document that are looked up at once.
+WORD_PAIRS = 2_000_000
 _PAIR, _EN, _UZ, _BLOCKS = range(4)
 
 
@@ -160,8 +162,8 @@ class Lexicon:
         return np.where(keys[at] == words_, r[at], self.unknown).astype(float)
 
     def table(self, en: np.ndarray, uz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sparse (place in en, place in uz, weight) of the entries between two sorted word lists; equal words have weight 1."""
-        lo, hi = np.searchsorted(self.pairs, en << 32), np.searchsorted(self.pairs, (en + 1) << 32)
+        """Sparse (place in en, place in uz, weight), sorted, of the entries between two sorted word lists; equal words have weight 1."""
+        lo, hi = np.searchsorted(self.pairs, en << 32), np.searchsorted(self.pairs, en << 32 | 0xFFFFFFFF, side="right")
         n = hi - lo
         e = np.repeat(np.arange(len(en)), n)
         at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
@@ -169,7 +171,11 @@ class Lexicon:
         u = np.minimum(np.searchsorted(uz, f), max(len(uz) - 1, 0))
         ok = uz[u] == f if len(uz) else np.zeros(len(f), bool)
         same, i, j = np.intersect1d(en, uz, return_indices=True)
-        return np.r_[e[ok], i], np.r_[u[ok], j], np.r_[w[ok], np.ones(len(same))]
+        e, u, w = np.r_[e[ok], i], np.r_[u[ok], j], np.r_[w[ok], np.ones(len(same))]
+        order = np.lexsort((w, u, e))
+        e, u, w = e[order], u[order], w[order]
+        last = np.r_[(e[1:] != e[:-1]) | (u[1:] != u[:-1]), True] if len(e) else np.zeros(0, bool)
+        return e[last], u[last], w[last]
 
 
 def hungarian(gain: np.ndarray) -> list[tuple[int, int]]:
@@ -242,66 +248,142 @@ def assign(score: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
     return out
 
 
-def _coverage(side: np.ndarray, other: np.ndarray, e: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Share of each row's weight (``side``: sentences by words) that each row of ``other`` translates."""
-    # best[word, sentence]: the strongest entry between the word and a word that stands in the sentence
-    best = np.zeros((side.shape[1], other.shape[0]))
-    present = (other > 0).T
-    np.maximum.at(best, e, w[:, None] * present[u])
-    total = side.sum(axis=1, keepdims=True)
-    return side @ best / np.maximum(total, 1e-9)
+class _Side:
+    """Distinct words of each sentence of one side, as places in the side's vocabulary, and their weights."""
+
+    def __init__(self, sents: list[np.ndarray], vocab: np.ndarray, rare: np.ndarray):
+        each = [np.unique(np.searchsorted(vocab, s)) for s in sents]
+        self.start = np.r_[0, np.cumsum([len(x) for x in each])]
+        self.words = np.concatenate(each).astype(np.int64)
+        self.of = np.repeat(np.arange(len(sents)), np.diff(self.start))
+        self.weight = rare[self.words].astype(float)
+        self.full = self.total()
+        # in how many sentences each word stands, and which
+        order = np.argsort(self.words, kind="stable")
+        self.sents, self.first = self.of[order], np.searchsorted(self.words[order], np.arange(len(vocab) + 1))
+
+    def total(self) -> np.ndarray:
+        return np.bincount(self.of, self.weight, len(self.start) - 1)
+
+    def prefix(self) -> np.ndarray:
+        """Places of each sentence's rarest words, as many as hold more than what a pair may leave untranslated."""
+        count = np.diff(self.first)[self.words]
+        order = np.lexsort((self.words, count, self.of))
+        before = np.cumsum(self.weight[order]) - self.weight[order]
+        before -= np.repeat(before[np.minimum(self.start[:-1], max(len(before) - 1, 0))], np.diff(self.start))
+        return order[before <= (1 - MOST_COVERED) * self.full[self.of[order]] + 1e-9]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .. of each range, one after the other."""
+    return np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+
+
+def _met(side: _Side, other: _Side, entry: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sentence pairs (side * sentences of other + other) in which a prefix word of ``side`` is translated.
+
+    ``entry``: the other side's words, sorted by this side's, of which word x has first[x] to first[x + 1].
+    """
+    at, m = side.prefix(), len(other.start) - 1
+    x = side.words[at]
+    size = first[x + 1] - first[x]
+    y, i = entry[_ranges(first[x], size)], np.repeat(side.of[at], size)
+    there = other.first[y + 1] - other.first[y]
+    return np.unique(np.repeat(i, there) * m + other.sents[_ranges(other.first[y], there)])
+
+
+class _Document:
+    """Sentence pairs of a document that can correspond, and their scores; nothing is as large as all pairs."""
+
+    def __init__(self, en: list[np.ndarray], uz: list[np.ndarray], lex: Lexicon):
+        ev, uv = np.unique(np.concatenate(en)), np.unique(np.concatenate(uz))
+        self.en, self.uz = _Side(en, ev, lex.rarity(_EN, ev)), _Side(uz, uv, lex.rarity(_UZ, uv))
+        self.n, self.m, self.width = len(en), len(uz), len(uv)
+        self.e, self.u, self.w = lex.table(ev, uv)
+        self.first = np.searchsorted(self.e, np.arange(len(ev) + 1))
+        self.there = self.uz.of * self.width + self.uz.words
+        self.entries = np.bincount(self.en.of, np.diff(self.first)[self.en.words], self.n).astype(np.int64)
+
+    def candidates(self) -> np.ndarray:
+        """Every pair (en * m + uz) of which one side may be translated to the share ``MOST_COVERED``.
+
+        Less than that is translated if none of a sentence's prefix words is, so nothing is lost.
+        """
+        there = _met(self.en, self.uz, self.u, self.first)
+        order = np.lexsort((self.e, self.u))
+        back = _met(self.uz, self.en, self.e[order], np.searchsorted(self.u[order], np.arange(len(self.uz.first))))
+        return np.union1d(there, back % self.n * self.m + back // self.n)
+
+    def words_of(self, i: np.ndarray, j: np.ndarray):
+        """(pair, place in en, place in uz, weight) of all entries between the words of sentences i[k] and j[k]."""
+        size = self.en.start[i + 1] - self.en.start[i]
+        p = _ranges(self.en.start[i], size)
+        x = self.en.words[p]
+        entries = self.first[x + 1] - self.first[x]
+        at = _ranges(self.first[x], entries)
+        pair = np.repeat(np.repeat(np.arange(len(i)), size), entries)
+        key = j[pair] * self.width + self.u[at]
+        q = np.minimum(np.searchsorted(self.there, key), len(self.there) - 1)
+        hit = self.there[q] == key
+        return pair[hit], np.repeat(p, entries)[hit], q[hit], self.w[at[hit]]
+
+    def covered(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of sentence i[k]'s and of j[k]'s remaining weight that the other translates."""
+        out = np.zeros((2, len(i)))
+        size = np.cumsum(self.entries[i])
+        left = self.en.total(), self.uz.total()
+        # some million word pairs at a time
+        for part in np.split(np.arange(len(i)), np.searchsorted(size, np.arange(WORD_PAIRS, size[-1], WORD_PAIRS)) if len(i) else []):
+            pair, p, q, w = self.words_of(i[part], j[part])
+            for s, (side, x, sent) in enumerate(((self.en, p, i), (self.uz, q, j))):
+                # the strongest entry of each word of a pair counts
+                order = np.lexsort((w, x, pair))
+                last = np.r_[(x[order][1:] != x[order][:-1]) | (pair[order][1:] != pair[order][:-1]), True][: len(order)]
+                at = order[last]
+                got = np.bincount(pair[at], side.weight[x[at]] * w[at], len(part))
+                out[s, part] = got / np.maximum(left[s][sent[part]], 1e-9)
+        return out[0], out[1]
+
+    def explain(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Take out the words that the pairs translate."""
+        _, p, q, w = self.words_of(i, j)
+        live = (w >= 0.15) & (self.en.weight[p] > 0) & (self.uz.weight[q] > 0)
+        self.en.weight[p[live]] = 0
+        self.uz.weight[q[live]] = 0
 
 
 def align(en: list[np.ndarray], uz: list[np.ndarray], lex: Lexicon) -> list[tuple[int, int, float, bool]]:
     """(en_no, uz_no, score, second partner) of the sentences, numbered from 1."""
     if not any(map(len, en)) or not any(map(len, uz)):
         return []
-    ev, uv = np.unique(np.concatenate(en)), np.unique(np.concatenate(uz))
-    e, u, w = lex.table(ev, uv)
-    we, wu = np.zeros((len(en), len(ev))), np.zeros((len(uz), len(uv)))
-    for matrix, vocab, side, sents in ((we, ev, _EN, en), (wu, uv, _UZ, uz)):
-        rare = lex.rarity(side, vocab)
-        for i, s in enumerate(sents):
-            at = np.unique(np.searchsorted(vocab, s))
-            matrix[i, at] = rare[at]
-    n, m = len(en), len(uz)
-    near = 0.02 * np.abs(np.arange(n)[:, None] / n - np.arange(m)[None, :] / m)  # among equals the nearer
-    full_e, full_u = we.sum(axis=1), wu.sum(axis=1)
+    doc = _Document(en, uz, lex)
+    n, m = doc.n, doc.m
     pairs: list[tuple[int, int, float, bool]] = []
-    partners_e, partners_u = {}, {}
+    known: set[int] = set()
     for turn in count():  # each pair is found once, so this ends
-        ce, cu = _coverage(we, wu, e, u, w), _coverage(wu, we, u, e, w).T
-        mean = (ce + cu) / 2 - near
+        if turn == 0:
+            at = doc.candidates()
+        else:
+            beside = {(i - 1 + a) * m + j - 1 + b for i, j, *_ in pairs for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0)) if 0 <= i - 1 + a < n and 0 <= j - 1 + b < m}
+            at = np.array(sorted(beside - known), np.int64)
+        i, j = at // m, at % m
+        ce, cu = doc.covered(i, j)
+        mean = (ce + cu) / 2 - 0.02 * np.abs(i / n - j / m)  # among equals the nearer
         if turn == 0:
             gain = mean - NULL_SCORE
             ok = (gain > 0) & (np.maximum(ce, cu) >= MOST_COVERED)
         else:
             gain = np.maximum(mean, np.minimum(np.maximum(ce, cu), 2 * mean)) - NULL_REST
-            left = (we.sum(axis=1) >= REST_SHARE * full_e)[:, None] & (wu.sum(axis=1) >= REST_SHARE * full_u)[None, :]
-            ok = (gain > 0) & left
-        score = {}
-        for i, j in zip(*np.nonzero(ok)):
-            i, j = int(i), int(j)
-            if turn:
-                if j in partners_e.get(i, ()):
-                    continue
-                beside = any(abs(j - x) <= 1 for x in partners_e.get(i, ())) or any(abs(i - x) <= 1 for x in partners_u.get(j, ()))
-                if not beside:
-                    continue
-            score[i, j] = float(gain[i, j])
+            ok = (gain > 0) & (doc.en.total() >= REST_SHARE * doc.en.full)[i] & (doc.uz.total() >= REST_SHARE * doc.uz.full)[j]
+        score = {(int(a), int(b)): float(g) for a, b, g in zip(i[ok], j[ok], gain[ok])}
         if not score:
             break
-        for i, j in assign(score):
-            pairs.append((i + 1, j + 1, float(mean[i, j]), turn > 0))
-            partners_e.setdefault(i, set()).add(j)
-            partners_u.setdefault(j, set()).add(i)
-        # what the partners explain is taken out before the next turn
-        we, wu = we.copy(), wu.copy()
-        for i, j, *_ in [(p[0] - 1, p[1] - 1) for p in pairs if p[3] == (turn > 0)]:
-            hit = (we[i, e] > 0) & (wu[j, u] > 0) & (w >= 0.15)
-            done_e, done_u = e[hit], u[hit]
-            we[i, done_e] = 0
-            wu[j, done_u] = 0
+        of = dict(zip(at[ok].tolist(), mean[ok].tolist()))
+        found = assign(score)
+        pairs += [(a + 1, b + 1, of[a * m + b], turn > 0) for a, b in found]
+        known |= {a * m + b for a, b in found}
+        # what the partners explain is taken out before the next turn; no sentence is in two of the pairs
+        doc.explain(np.array([a for a, _ in found]), np.array([b for _, b in found]))
     return sorted(pairs)
 
 

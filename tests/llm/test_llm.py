@@ -285,6 +285,34 @@ def test_both_lexicons_weigh_missing_words_alike(spark, monkeypatch):
     assert len(broadcast) == 4 and run() == broadcast
 
 
+def test_candidates_and_coverage_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n_pairs = int(rng.integers(5, 120))
+        pairs = np.unique((rng.integers(0, 30, n_pairs) << 32) | rng.integers(20, 50, n_pairs))
+        weights = rng.uniform(0.05, 1, len(pairs))
+        rare = {side: (np.arange(0, 50), rng.uniform(0.5, 5, 50)) for side in (1, 2)}
+        lex = bitext.Lexicon(pairs, weights, rare, 6.0)
+        en = [rng.integers(0, 30, rng.integers(0, 8)) for _ in range(int(rng.integers(1, 12)))] + [np.array([3])]
+        uz = [rng.integers(20, 50, rng.integers(0, 8)) for _ in range(int(rng.integers(1, 12)))] + [np.array([], np.int64)]
+        uz[0] = np.array([25])
+        doc = bitext._Document(en, uz, lex)
+        weight = dict(zip(pairs.tolist(), weights.tolist()))
+        of = lambda x, y: max(weight.get((x << 32) | y, 0.0), float(x == y))
+
+        def share(words, other, side, entry, rare=rare):
+            w = {x: rare[side][1][x] for x in set(words.tolist())}
+            return sum(v * max((entry(x, y) for y in set(other.tolist())), default=0.0) for x, v in w.items()) / max(sum(w.values()), 1e-9)
+
+        found = set(doc.candidates().tolist())
+        for i, a in enumerate(en):
+            for j, b in enumerate(uz):
+                ce, cu = share(a, b, 1, of), share(b, a, 2, lambda y, x: of(x, y))
+                got = doc.covered(np.array([i]), np.array([j]))
+                assert abs(got[0][0] - ce) < 1e-5 and abs(got[1][0] - cu) < 1e-5
+                assert max(ce, cu) < bitext.MOST_COVERED or i * len(uz) + j in found
+
+
 def test_merges_of_many_sentences():
     en = [np.arange(6 * i, 6 * i + 6) for i in range(5)]
     words = np.arange(30)
