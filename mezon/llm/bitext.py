@@ -335,13 +335,14 @@ class _Document:
         # some million word pairs at a time
         for part in np.split(np.arange(len(i)), np.searchsorted(size, np.arange(WORD_PAIRS, size[-1], WORD_PAIRS)) if len(i) else []):
             pair, p, q, w = self.words_of(i[part], j[part])
-            for s, (side, x, sent) in enumerate(((self.en, p, i), (self.uz, q, j))):
-                # the strongest entry of each word of a pair counts
-                order = np.lexsort((w, x, pair))
-                last = np.r_[(x[order][1:] != x[order][:-1]) | (pair[order][1:] != pair[order][:-1]), True][: len(order)]
-                at = order[last]
-                got = np.bincount(pair[at], side.weight[x[at]] * w[at], len(part))
-                out[s, part] = got / np.maximum(left[s][sent[part]], 1e-9)
+            if not len(pair):
+                continue
+            order = np.argsort(pair * len(self.there) + q)
+            # pairs and the en side's words come in order; the strongest entry of each word of a pair counts
+            for s, (side, x, of, strength) in enumerate(((self.en, p, pair, w), (self.uz, q[order], pair[order], w[order]))):
+                at = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (of[1:] != of[:-1])])
+                got = np.bincount(of[at], side.weight[x[at]] * np.maximum.reduceat(strength, at), len(part))
+                out[s, part] = got / np.maximum(left[s][(i, j)[s][part]], 1e-9)
         return out[0], out[1]
 
     def explain(self, i: np.ndarray, j: np.ndarray) -> None:
