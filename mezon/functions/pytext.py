@@ -17,7 +17,7 @@ APOSTROPHES = "'‘’ʼʻ`´′‵ʹˈ＇"
 # Marks without width.
 INVISIBLE = "­​‌‍⁠﻿"
 
-_DROP = {ord(c): None for c in APOSTROPHES + INVISIBLE}
+_DROP = re.compile(f"[{APOSTROPHES}{INVISIBLE}]")
 _CYR = {ord(k): v for k, v in UZ_CYRILLIC.items()}
 _YE = re.compile(r"(?:(?<![^\W\d_])|(?<=[аеёиоуўэюяъ]))е")
 _HAS_CYR = re.compile("[Ѐ-ӿ]")
@@ -27,7 +27,9 @@ _WORD = re.compile(r"[^\W_]+")
 
 def clean(text: str) -> str:
     """NFKC, lower case, without apostrophes and invisible marks."""
-    return unicodedata.normalize("NFKC", text.translate(_DROP)).lower().translate(_DROP)
+    if text.isascii():
+        return text.replace("'", "").replace("`", "").lower()
+    return _DROP.sub("", unicodedata.normalize("NFKC", _DROP.sub("", text)).lower())
 
 
 def latin(text: str) -> str:
