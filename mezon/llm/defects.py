@@ -7,25 +7,26 @@ meet a broadcast of fixed size. A row keeps every defect whose posterior reaches
 cutoffs were validated on clean answers damaged on purpose (see the tests).
 
 What the functions compare an answer with, besides its source, is the other answers to the same
-segment: their median length and their commonest ending. Both are aggregated with partial sums, so a
-segment that holds a large part of all rows is no hot spot.
+segment: their median length and their commonest ending. Both are aggregated with partial sums. Equal
+answers to a segment are judged once, however often they were delivered, and segments with a large
+part of all answers are split for the join, so a hot segment is no hot spot.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mezon.functions.pytext import clean, latin, split_sentences, words
 from mezon.llm.language import MARGIN, Model
 from mezon.llm.repetition import letters, repeated_share
-from mezon.session import cut, spread
+from mezon.session import cut, shuffle_partitions
 
 #: In order of precedence.
 DEFECTS = ["empty", "refusal", "copied", "other_language", "truncated"]
@@ -39,9 +40,11 @@ SHORT, LONG_ENOUGH = 0.76, 0.86
 _TAG = re.compile(r"<[^<>]*>|\[[^\[\]]*\]|\{\{[^{}]*\}\}")
 _ALNUM = re.compile(r"[^\W_]")
 _NOT_ALNUM = re.compile(r"[\W_]+")
-_TOKEN = regex.compile(r"[\p{L}\p{N}]+")
 _NUMBER = re.compile(r"\d{2,}")
 _NAME = re.compile(r"(?<=[\w,] )[A-Z][a-z]{3,}")
+# letters that Uzbek lacks, and spellings that mark it
+_FOREIGN = re.compile("[ыщэәіңөүұһşçıöüğ]")
+_MARKED = re.compile(r"(?i)[og]['‘’ʼʻ`´]|q(?!u)|[ўқғҳ]|sh|x")
 
 # Words that stand for an answer but hold none.
 PLACEHOLDERS = set("null none nan na empty blank undefined".split())
@@ -81,6 +84,22 @@ def _grams(s: str, n: int = 5) -> set[str]:
     return {s[i : i + n] for i in range(max(1, len(s) - n + 1))}
 
 
+@lru_cache(maxsize=4096)
+def _source(en: str | None) -> tuple:
+    """What is compared of a source: letters and digits, their number without repeated sentences, text, declines, anchors, words, grams, loops, finished, trails off."""
+    if not (en and _ALNUM.search(en)):
+        return None, None, False, False, frozenset(), frozenset(), frozenset(), False, False, False
+    squeezed, plain = _NOT_ALNUM.sub("", latin(en)), clean(en)
+    once = _NOT_ALNUM.sub("", latin(" ".join(dict.fromkeys(split_sentences(en)))))
+    declines = bool(_DECLINES.search(plain))
+    anchors = frozenset(_NUMBER.findall(en)) | frozenset(w.lower() for w in _NAME.findall(en))
+    end = en.rstrip()
+    return (
+        squeezed, len(once), declines, declines and bool(_ABOUT.search(plain)), anchors, frozenset(words(en)), frozenset(_grams(squeezed)),
+        repeated_share(letters(en)) >= 0.5, end[-1:] in tuple(".!?"), end.endswith(("...", "…")),
+    )
+
+
 def _vote(yes: bool, no: bool) -> int:
     return 1 if yes else -1 if no else 0
 
@@ -91,13 +110,13 @@ def votes(uz: str | None, en: str | None, median: float, n_answers: int, ending:
     ``lang``: the whole text is in another language (1), Uzbek (-1) or unclear (0); shares of its
     sentences clearly in another language and clearly Uzbek.
     """
-    raw, has = uz or "", bool(en and _ALNUM.search(en))
+    raw = uz or ""
+    source, once, declines_en, said, anchors, en_words, gb, loops_en, finished, trails = _source(en)
+    has = source is not None
     body = content(uz)
     n, known = len(body), n_answers >= 3 and median > 0
     ratio = n / median if known else None
-    source = _NOT_ALNUM.sub("", latin(en)) if has else ""
-    once = _NOT_ALNUM.sub("", latin(" ".join(dict.fromkeys(split_sentences(en))))) if has else ""
-    to_source = n / len(once) if once else None  # a source that repeats itself may be answered once
+    to_source = n / once if once else None  # a source that repeats itself may be answered once
     out = {
         "empty": [
             _vote(not n, n > 0),
@@ -108,14 +127,11 @@ def votes(uz: str | None, en: str | None, median: float, n_answers: int, ending:
     if not n:
         return out | {d: [0] * k for d, k in (("refusal", 4), ("copied", 4), ("other_language", 3), ("truncated", 4))}
     # refusal
-    plain, plain_en = clean(raw), clean(en) if has else ""
-    declines, declines_en = bool(_DECLINES.search(plain)), bool(_DECLINES.search(plain_en))
+    plain = clean(raw)
+    declines = bool(_DECLINES.search(plain))
     refuses = declines and bool(_ABOUT.search(plain))
     raw_words, raw_letters = words(raw), letters(raw)
-    anchors = set(_NUMBER.findall(en)) | {w.lower() for w in _NAME.findall(en)} if has else set()
-    tokens = set(raw_words) | set(_NUMBER.findall(raw))
-    kept = len(anchors & tokens) / len(anchors) if anchors else None
-    said = declines_en and bool(_ABOUT.search(plain_en))
+    kept = len(anchors & ({*raw_words, *_NUMBER.findall(raw)})) / len(anchors) if anchors else None
     out["refusal"] = [
         _vote(refuses, not refuses),
         _vote(declines and not declines_en, said or not declines),
@@ -124,9 +140,9 @@ def votes(uz: str | None, en: str | None, median: float, n_answers: int, ending:
     ]
     # copied
     if has:
-        a, b = set(raw_words), set(words(en))
-        same = len(a & b) / max(len(a | b), 1)
-        ga, gb = _grams(body), _grams(source)
+        a = set(raw_words)
+        same = len(a & en_words) / max(len(a | en_words), 1)
+        ga = _grams(body)
         inside = len(ga & gb) / len(ga)
         both = len(ga & gb) / len(ga | gb)
         out["copied"] = [_vote(same >= 0.75, same <= 0.5), _vote(both >= 0.7, both <= 0.45), _vote(inside >= 0.8, inside <= 0.5), _vote(body == source, abs(n - len(source)) > 0.3 * len(source))]
@@ -134,8 +150,8 @@ def votes(uz: str | None, en: str | None, median: float, n_answers: int, ending:
         out["copied"] = [0, 0, 0, 0]
     # other language
     whole, clear, uzbek = lang
-    foreign = sum(c in "ыщэәіңөүұһşçıöüğ" for c in plain) / n
-    marked = len(regex.findall(r"(?i)[og]['‘’ʼʻ`´]|q(?!u)|[ўқғҳ]|sh|x", raw)) / n
+    foreign = len(_FOREIGN.findall(plain)) / n
+    marked = len(_MARKED.findall(raw)) / n
     out["other_language"] = [
         _vote(whole > 0, whole < 0),
         _vote(clear > 0.5, uzbek >= 0.5),
@@ -143,10 +159,9 @@ def votes(uz: str | None, en: str | None, median: float, n_answers: int, ending:
     ]
     # truncated
     end = body[-ENDING:]
-    stops = raw.rstrip().endswith(("...", "…")) and not (has and en.rstrip().endswith(("...", "…")))
-    finished = has and en.rstrip()[-1:] in tuple(".!?")
+    stops = raw.rstrip().endswith(("...", "…")) and not trails
     # an answer that repeats itself where its source does not went wrong in another way
-    loops = repeated_share(raw_letters) >= 0.5 and repeated_share(letters(en or "")) < 0.5
+    loops = not loops_en and repeated_share(raw_letters) >= 0.5
     sound = clear <= 0.5 and not refuses and not loops
     marks = raw.rstrip()[-1:] in tuple(".!?…\"”»)")
     out["truncated"] = [
@@ -193,76 +208,93 @@ def label_model(counts: dict[int, int], functions: int, prior: float = PRIOR, ro
 FUNCTIONS = {"empty": 3, "refusal": 4, "copied": 4, "other_language": 3, "truncated": 4}
 
 
-def _profiles(answers: DataFrame) -> DataFrame:
-    """segment, n (letters and digits), ending of each answer with content."""
+#: A segment with at least this share of all distinct answers is split into ``SALTS`` parts for the join; such segments number 1 / HOT_SHARE at most.
+HOT_SHARE, SALTS = 1 / 500, 64
+
+
+def _profiles(pairs: DataFrame) -> DataFrame:
+    """segment, length (letters and digits), ending and number of copies of each distinct answer with content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known: dict[str | None, str] = {}
-            bodies = [known[t] if t in known else known.setdefault(t, content(t)) for t in b.column(1).to_pylist()]
-            keep = [i for i, x in enumerate(bodies) if x]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(keep, pa.int64())), pa.array([len(bodies[i]) for i in keep], pa.int64()), pa.array([bodies[i][-ENDING:] for i in keep], pa.string())],
-                names=["segment", "n", "ending"],
-            )
+            bodies = [content(t) for t in b.column(1).to_pylist()]
+            keep = pa.array([i for i, x in enumerate(bodies) if x], pa.int64())
+            size, end = pa.array([len(x) for x in bodies if x], pa.int64()), pa.array([x[-ENDING:] for x in bodies if x], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), size, end, b.column(2).take(keep)], names=["segment", "size", "ending", "n"])
 
-    return answers.select("segment", "text").mapInArrow(run, "segment string, n long, ending string")
+    return pairs.select("segment", "text", "n").mapInArrow(run, "segment string, size long, ending string, n long")
 
 
-def vote_patterns(answers: DataFrame, sources: DataFrame, model: Model) -> DataFrame:
-    """(key, one pattern number per defect) of every answer. ``answers``: key, segment, text; ``sources``: segment, source."""
-    profiles = cut(_profiles(answers))  # read twice
-    endings = profiles.groupBy("segment", "ending").agg(F.count("*").alias("c"))
-    common = endings.groupBy("segment").agg(F.max_by("ending", F.struct("c", "ending")).alias("ending"))
-    stats = profiles.groupBy("segment").agg(F.percentile_approx("n", 0.5, 200).alias("median"), F.count("*").alias("n_answers")).join(common, "segment")
+def _info(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """segment, source, exact median length, number of answers, commonest ending, number of distinct answers."""
+    profiles = cut(_profiles(pairs))  # read twice
+    common = profiles.groupBy("segment", "ending").agg(F.sum("n").alias("c")).groupBy("segment").agg(F.max_by("ending", F.struct("c", "ending")).alias("ending"))
+    # counts per length, so what a group holds does not grow with its rows
+    median = F.percentile("size", F.lit(0.5), F.col("n")).alias("median")
+    stats = profiles.groupBy("segment").agg(median, F.sum("n").alias("n_answers"), F.count("*").alias("n_distinct")).join(common, "segment")
     one = sources.where("segment IS NOT NULL").groupBy("segment").agg(F.min("source").alias("source"))
-    info = one.join(stats, "segment", "full")
-    rows = spread(answers).join(info, "segment", "left").select("key", "text", "source", F.coalesce("median", F.lit(0)).alias("median"), F.coalesce("n_answers", F.lit(0)).alias("n_answers"), "ending")
-    kind = rows.schema["key"].dataType.simpleString()
+    return cut(one.join(stats, "segment", "full"))
+
+
+def vote_patterns(answers: DataFrame, sources: DataFrame, model: Model) -> DataFrame:
+    """(hash, n, one pattern number per defect) of every distinct answer to a segment, ``n`` times given.
+
+    ``answers``: key, segment, text; ``sources``: segment, source; ``hash`` is that of ``pair_hash``.
+    """
+    pairs = cut(answers.groupBy("segment", "text").agg(F.count("*").alias("n")))
+    info = _info(pairs, sources)
+    total = info.agg(F.sum("n_distinct")).first()[0] or 0
+    hot = [r[0] for r in info.where((F.col("n_distinct") >= HOT_SHARE * total) & (F.col("n_distinct") >= 1000)).select("segment").collect()]
+    part = F.when(F.col("segment").isin(hot), F.pmod(F.xxhash64("text"), F.lit(SALTS))).otherwise(0).cast("int") if hot else F.lit(0)
+    parts = F.when(F.col("segment").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+    both = pairs.withColumn("part", part).join(info.withColumn("part", F.explode(parts)), ["segment", "part"], "left")
+    rows = both.select(pair_hash(), "n", "text", "source", F.coalesce("median", F.lit(0.0)).alias("median"), F.coalesce("n_answers", F.lit(0)).alias("n_answers"), "ending")
+    # by hash: answers take Python work by their number, not by their segment's size
+    rows = rows.repartition(shuffle_partitions(answers.sparkSession), "hash")
     shared = answers.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, langs = shared.value, {}
+        m, known = shared.value, {}
+
+        def score(t: str) -> tuple[str | None, float]:
+            # sentences repeat from answer to answer
+            if t not in known:
+                if len(known) > 50_000:
+                    known.clear()
+                known[t] = m.score(t)
+            return known[t]
 
         def language(t: str | None) -> tuple[float, float, float]:
             if not t or not content(t):
                 return 0.0, 0.0, 0.0
-            if t not in langs:
-                if len(langs) > 20_000:
-                    langs.clear()
-                sents = split_sentences(t)
-                size = [len(s) for s in sents]
-                total = max(sum(size), 1)
-                sure = [(s, *m.score(x)) for x, s in zip(sents, size)]
-                whole, c = m.score(" ".join(sents)) if len(sents) > 1 else sure[0][1:]
-                whole = 0.0 if c < MARGIN / 2 else -1.0 if whole == "uz" else 1.0
-                clear = sum(s for s, lang, c in sure if c >= MARGIN and lang != "uz")
-                uzbek = sum(s for s, lang, c in sure if c >= MARGIN and lang == "uz")
-                langs[t] = whole, clear / total, uzbek / total
-            return langs[t]
-
-        # systems give the same answer to a segment again and again; what is compared is then the same
-        judged: dict[tuple, tuple] = {}
+            sents = split_sentences(t)
+            size = [len(s) for s in sents]
+            total = max(sum(size), 1)
+            sure = [(s, *score(x)) for x, s in zip(sents, size)]
+            whole, c = m.score(" ".join(sents)) if len(sents) > 1 else sure[0][1:]
+            whole = 0.0 if c < MARGIN / 2 else -1.0 if whole == "uz" else 1.0
+            clear = sum(s for s, lang, c in sure if c >= MARGIN and lang != "uz")
+            uzbek = sum(s for s, lang, c in sure if c >= MARGIN and lang == "uz")
+            return whole, clear / total, uzbek / total
+
         for b in batches:
-            out = []
-            for pair in zip(*(b.column(i).to_pylist() for i in range(1, 6))):
-                if pair not in judged:
-                    if len(judged) > 20_000:
-                        judged.clear()
-                    v = votes(*pair, language(pair[0]))
-                    judged[pair] = tuple(code(v[d]) for d in DEFECTS)
-                out.append(judged[pair])
-            cols = dict(zip(DEFECTS, zip(*out) if out else ((),) * len(DEFECTS)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(cols[d], pa.int32()) for d in DEFECTS)], names=["key", *DEFECTS])
+            found = [votes(*pair, language(pair[0])) for pair in zip(*(b.column(i).to_pylist() for i in range(2, 7)))]
+            cols = [pa.array([code(v[d]) for v in found], pa.int32()) for d in DEFECTS]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["hash", "n", *DEFECTS])
+
+    return rows.mapInArrow(run, "hash string, n long, " + ", ".join(f"{d} int" for d in DEFECTS))
+
 
-    return rows.mapInArrow(run, f"key {kind}, " + ", ".join(f"{d} int" for d in DEFECTS))
+def pair_hash() -> Column:
+    """Of segment and text, either of which may be null."""
+    return F.sha2(F.concat_ws("", *(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in ("segment", "text"))), 256).alias("hash")
 
 
 def posteriors(patterns: DataFrame) -> dict[str, np.ndarray]:
     """Posterior by pattern for every defect; what reaches the driver is bounded by the number of patterns."""
     named = F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("code")) for d in DEFECTS))).alias("x")
     counts: dict[str, dict[int, int]] = {d: {} for d in DEFECTS}
-    for r in patterns.select(named).groupBy("x.defect", "x.code").count().collect():
+    for r in patterns.select("n", named).groupBy("x.defect", "x.code").agg(F.sum("n")).collect():
         counts[r[0]][r[1]] = r[2]
     return {d: label_model(counts[d], FUNCTIONS[d]) for d in DEFECTS}
 
@@ -277,19 +309,19 @@ def defects(answers: DataFrame, sources: DataFrame, model: Model, cutoffs: dict[
     cutoffs = CUTOFFS | (cutoffs or {})
     patterns = cut(vote_patterns(answers, sources, model))
     post = posteriors(patterns)
-    kind = patterns.schema["key"].dataType.simpleString()
     shared = answers.sparkSession.sparkContext.broadcast(post)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         post = shared.value
         for b in batches:
-            p = np.column_stack([post[d][b.column(j + 1).to_numpy()] for j, d in enumerate(DEFECTS)])
+            p = np.column_stack([post[d][b.column(j + 2).to_numpy()] for j, d in enumerate(DEFECTS)])
             hit = p >= np.array([cutoffs[d] for d in DEFECTS])
             i, j = np.nonzero(hit)
             rank = np.cumsum(hit, axis=1)[i, j]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(i)), pa.array([DEFECTS[x] for x in j], pa.string()), pa.array(p[i, j]), pa.array(rank.astype(np.int64))],
-                names=["key", "defect", "posterior", "rank"],
+                names=["hash", "defect", "posterior", "rank"],
             )
 
-    return patterns.mapInArrow(run, f"key {kind}, defect string, posterior double, rank long")
+    found = patterns.mapInArrow(run, "hash string, defect string, posterior double, rank long")
+    return answers.select("key", pair_hash()).join(found, "hash").select("key", "defect", "posterior", "rank")

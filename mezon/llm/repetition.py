@@ -174,9 +174,9 @@ def measure(df: DataFrame, key: str, text: str, model: Regression, threshold: fl
     With a ``threshold``, texts below it are scored but not measured (their share is null). A null
     text gives no row; a text without letters has share 0. Repeated rows give repeated results.
     """
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.sha2(text, 256).alias("h"))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
     # answers repeat across systems and runs: each text is scored once, copies are combined before the shuffle
-    texts = rows.groupBy("h").agg(F.min("t").alias("t"))
+    texts = rows.select("t").distinct().select(F.sha2("t", 256).alias("h"), "t")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,4 +191,4 @@ def measure(df: DataFrame, key: str, text: str, model: Regression, threshold: fl
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array(s, pa.float64())], names=["h", "probability", "repeated_share"])
 
     scored = texts.repartition(shuffle_partitions(df.sparkSession), "h").mapInArrow(run, "h string, probability double, repeated_share double")
-    return rows.select("k", "h").join(scored, "h").select(F.col("k").alias(key), "probability", "repeated_share")
+    return rows.select("k", F.sha2("t", 256).alias("h")).join(scored, "h").select(F.col("k").alias(key), "probability", "repeated_share")
