@@ -129,7 +129,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     that weights add up to the number of documents. Null keys are left out.
     """
     shares = cut(p9_subjects(spark, sf_dir, ANY))
-    about = F.coalesce("most", F.lit(0.0)) >= ABOUT - 1e-9
+    about = F.coalesce("most", F.lit(0.0)) >= ABOUT * subjects.WHOLE
     weight = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 6).alias("weight")
     by_subject = shares.withColumnRenamed("share", "most").groupBy("subject").agg(F.count_if(about).alias("n_docs"), weight(F.col("most")))
     taken = shares.groupBy("doc_id").agg(F.sum("share").alias("taken"), F.max("share").alias("most"))

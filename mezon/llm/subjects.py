@@ -9,8 +9,9 @@ take up what stands in documents of every label (courtesy, small talk, news).
 
 Fitting is expectation maximisation over all documents. Each pass reads the tokenised documents once,
 with the word-by-topic table as a broadcast of fixed size (``BUCKETS`` hashed words), and returns sums
-of the same fixed size. Topics are mapped to subjects by their top terms: a subject keeps its topic
-only if the terms that distinguish it are those that distinguish the documents labelled with it.
+of the same fixed size. Topics are mapped to subjects by inspecting their top terms: a topic is about
+the subject that most of them tell, that is, under whose label they stand far more often than under
+the others; a topic whose top terms mostly tell no subject is background.
 """
 
 from __future__ import annotations
@@ -38,10 +39,11 @@ EXCESS = 0.5
 TELLING = 2.0
 #: Pseudo-counts of the Dirichlet priors: topics of a labelled document, topics of any document, words of a topic.
 LABEL_PRIOR, PRIOR, WORD_PRIOR = 1.5, 0.3, 0.02
-#: A segment is about a subject if the subject's posterior is at least this.
-SURE = 0.6
-#: Top terms compared when a topic is mapped to a subject, and the share that must agree.
-TOP_TERMS, AGREEMENT = 40, 0.25
+#: A segment hardly ever belongs to a topic with certainty: so much of a wanted proportion is enough.
+WHOLE = 0.96
+#: Top terms of a topic that are inspected, how often a term must stand under a label to count, and the
+#: share of them that must tell the subject the topic is mapped to.
+TOP_TERMS, LEAST_SEEN, AGREEMENT = 40, 3, 0.45
 _CLAUSE_END = re.compile(r"[,;:—–]\s")
 
 
@@ -181,6 +183,13 @@ def start(labelled: np.ndarray, corpus: np.ndarray, background: int) -> np.ndarr
     return np.column_stack([excess, corpus[:, None] * shake])
 
 
+def telling(labelled: np.ndarray) -> np.ndarray:
+    """Whether a word tells a subject: its share under the label is ``TELLING`` times its mean share under the others."""
+    share = labelled / labelled.sum(axis=0, keepdims=True).clip(1e-9)
+    others = (share.sum(axis=1, keepdims=True) - share) / max(labelled.shape[1] - 1, 1)
+    return (labelled >= LEAST_SEEN) & (share >= TELLING * others)
+
+
 def inspected(logw: np.ndarray, labelled: np.ndarray, subject_of: np.ndarray) -> np.ndarray:
     """Word probabilities in which a subject's topic gains nothing from terms that do not tell the subject.
 
@@ -188,14 +197,12 @@ def inspected(logw: np.ndarray, labelled: np.ndarray, subject_of: np.ndarray) ->
     such terms alone stays in the background whatever the document is about. Terms seen too rarely
     under any label are left as fitted.
     """
-    share = labelled / labelled.sum(axis=0, keepdims=True).clip(1e-9)
-    others = (share.sum(axis=1, keepdims=True) - share) / max(labelled.shape[1] - 1, 1)
-    out, rest = logw.copy(), subject_of < 0
+    out, rest, tells = logw.copy(), subject_of < 0, telling(labelled)
     if not rest.any():
         return out
     for t, s in enumerate(subject_of):
         if s >= 0:
-            dull = (labelled.sum(axis=1) >= 3) & (share[:, s] < TELLING * others[:, s])
+            dull = (labelled.sum(axis=1) >= LEAST_SEEN) & ~tells[:, s]
             out[dull, t] = logw[dull][:, rest].max(axis=1) - np.log(2)
     return out
 
@@ -215,25 +222,23 @@ def fit(tokens: DataFrame, subjects: int, background: int = BACKGROUND, passes:
     corpus = counts[:, subjects]
     mean = corpus / max(corpus.sum(), 1)
     by_label = counts[:, :subjects]
-    seed_terms = top_terms(by_label, mean)
     counts = start(by_label, corpus, background)
     for _ in range(passes):
         shared = tokens.sparkSession.sparkContext.broadcast(_log_words(counts, mean))
         counts = _gather(tokens, lambda x, shared=shared: x.posterior(shared.value), topics, subjects)
-    terms = top_terms(counts, mean)
+    tells = telling(by_label)
     subject_of = np.full(topics, -1)
-    for t in range(topics):
-        agree = [len(np.intersect1d(terms[t], x)) / TOP_TERMS if by_label[:, s].any() else 0.0 for s, x in enumerate(seed_terms)]
-        best = int(np.argmax(agree)) if agree else -1
-        if best >= 0 and agree[best] >= AGREEMENT and counts[:, t].sum() > 0:
-            subject_of[t] = best
+    for t, top in enumerate(top_terms(counts, mean)):
+        agree = tells[top].mean(axis=0)
+        if counts[:, t].sum() > 0 and agree.max(initial=0.0) >= AGREEMENT:
+            subject_of[t] = int(np.argmax(agree))
     return inspected(_log_words(counts, mean), by_label, subject_of), subject_of
 
 
 def classify(
     docs: DataFrame, key: str, text: str, subjects: list[str], labels: DataFrame, label_key: str, label: str, least: float = 1 / 6
 ) -> DataFrame:
-    """(``key``, subject, share) of each subject that at least ``least`` of a document's segments are about.
+    """(``key``, subject, share) of each subject that has at least ``least`` (times ``WHOLE``) of a document's topic proportions.
 
     Labels are read without case and surrounding space; null and unknown ones are ignored, doubled
     ones count once. Documents without words, and null keys, give no row; a table without labels
@@ -258,10 +263,11 @@ def classify(
             x.given[:] = False
             p = x.posterior(logw)
             by = np.column_stack([p[:, subject_of == s].sum(axis=1) for s in range(len(names))])
-            about = np.zeros((x.n, len(names)))
-            np.add.at(about, x.doc, by >= SURE)
-            share = about / np.bincount(x.doc, minlength=x.n).clip(1)[:, None]
-            i, s = np.nonzero(share >= least - 1e-9)
+            # topic proportions of the document: the mean over its segments, without the prior
+            share = np.zeros((x.n, len(names)))
+            np.add.at(share, x.doc, by)
+            share /= np.bincount(x.doc, minlength=x.n).clip(1)[:, None]
+            i, s = np.nonzero(share >= least * WHOLE)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(i)), pa.array([names[y] for y in s], pa.string()), pa.array(share[i, s])], names=["k", "subject", "share"]
             )
