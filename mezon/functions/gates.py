@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,15 +40,42 @@ def entity_keep(c: Column, preserve: Column) -> Column:
     return F.when(F.size(preserve) > 0, kept / F.size(preserve))
 
 
-def gates(source: Column, answer: Column, preserve: Column) -> dict[str, Column]:
-    """All gates by name; null texts count as empty."""
+def detector_of(language_of: Callable[[str], str | None]) -> Callable[[Column], Column]:
+    """A leak gate from a language detector: an answer leaks if the detector names English. Runs in Arrow batches."""
+
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(t) and (language_of(t) or "").lower() in ("en", "english"))
+
+    return leaks
+
+
+def lingua_detector() -> Callable[[Column], Column] | None:
+    """The leak gate by the lingua library; None where it is not installed."""
+    try:
+        from lingua import Language, LanguageDetectorBuilder
+    except ImportError:
+        return None
+    built: list = []
+
+    def language_of(text: str) -> str | None:
+        if not built:  # once per worker
+            built.append(LanguageDetectorBuilder.from_languages(Language.ENGLISH, Language.UZBEK).build())
+        found = built[0].detect_language_of(text)
+        return found.name if found else None
+
+    return detector_of(language_of)
+
+
+def gates(source: Column, answer: Column, preserve: Column, leak: Callable[[Column], Column] = english_leak) -> dict[str, Column]:
+    """All gates by name; null texts count as empty. ``leak`` may be that of a language detector."""
     uz, en = strip(F.coalesce(answer, F.lit(""))), strip(F.coalesce(source, F.lit("")))
     ratio = F.coalesce(F.try_divide(F.length(uz), F.length(en)), F.lit(0.0))
     return {
         "empty": uz == "",
         "copy_through": (uz != "") & (F.lower(uz) == F.lower(en)),
         "cyrillic": F.rlike(uz, F.lit("[Ѐ-ӿ]")),
-        "english_leak": english_leak(uz),
+        "english_leak": leak(uz),
         "entity_keep": entity_keep(uz, preserve),
         "len_ratio": F.round(ratio, 3),
         "len_outlier": (uz != "") & ((ratio < LEN_LOW) | (ratio > LEN_HIGH)),

@@ -48,5 +48,11 @@ def unfence(c: Column) -> Column:
 
 
 def parse_answer(c: Column) -> Column:
-    """The answer as a struct: the whole text, else the first balanced object in it; null if neither parses."""
-    return F.from_json(_first_object(unfence(c)), ANSWER, {"mode": "PERMISSIVE"})
+    """The answer as a struct: the whole text, else the first balanced object in it; null if neither parses.
+
+    Only answers that do not parse as they are go through Python.
+    """
+    text = unfence(c)
+    whole = F.from_json(text, ANSWER, {"mode": "PERMISSIVE"})
+    fine = F.coalesce(whole["errors"].isNotNull() | whole["adequacy"].isNotNull() | whole["fluency"].isNotNull(), F.lit(False))
+    return F.when(fine, whole).otherwise(F.from_json(_first_object(F.when(~fine, text)), ANSWER, {"mode": "PERMISSIVE"}))

@@ -82,6 +82,14 @@ def fmt(c: Column, digits: int = 4) -> Column:
     return F.when(c.isNull(), "—").otherwise(F.format_string(f"%.{digits}f", c))
 
 
+def fmt_duration(seconds: Column) -> Column:
+    """m:ss below an hour, h:mm:ss from there on; --:-- for null, negative and infinite."""
+    s = F.floor(seconds).cast("long")
+    short, long = F.format_string("%d:%02d", F.floor(s / 60), s % 60), F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    known = (seconds >= 0) & (seconds < float("inf")) & ~F.isnan(seconds)
+    return F.when(F.coalesce(known, F.lit(False)), F.when(s < 3600, short).otherwise(long)).otherwise("--:--")
+
+
 def html_escape(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -97,6 +105,12 @@ _TRANSLATE = (
 )
 _CONTEXT = "Conversation context — the previous turn, for reference only, do NOT translate it:\n"
 _JUDGE_CONTEXT = "Dialogue context (previous turn, background only):\n"
+JUDGE_RUBRIC = (
+    "You are an expert English→Uzbek (Latin script) translation evaluator using the MQM framework. Identify translation "
+    "errors in the Uzbek candidate with respect to the English source. For each error give a category (mistranslation, "
+    "omission, addition, grammar, spelling, terminology, wrong-script, entity-dropped, style, other) and a severity "
+    "(critical, major, minor). Judge only the candidate turn; any provided context is background. Be strict and consistent."
+)
 _JUDGE = (
     "\n\nList every translation error as an object with `category`, `severity` (critical, major or minor) and `span` "
     "(the exact substring of the Uzbek candidate that is wrong). Then rate `adequacy` and `fluency` as integers from 1 "

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mezon.functions import text as tx
-from mezon.functions.entities import mask, unmask
+from mezon.functions.entities import mask, unmask, unrestored
 from mezon.functions.judge import mqm_score, parse_answer
 from mezon.models.registry import Spec, factory_of
 
@@ -78,8 +78,12 @@ def translate(df: DataFrame, spec: Spec, per_minute: float = 0, tries: int = 4,
                     if model is None:
                         name = (spec, getattr(make, "__qualname__", str(make)))
                         model = _WORKER[name] if name in _WORKER else _WORKER.setdefault(name, make(spec))
-                    throttle.wait()
-                    answer = (retried(lambda t=text, c=context: model.translate(t, c), tries) or "").strip()
+
+                    def once(t=text, c=context, m=model) -> str:
+                        throttle.wait()  # every try counts against the limit
+                        return m.translate(t, c)
+
+                    answer = (retried(once, tries) or "").strip()
                     if not answer:
                         error = "EmptyGeneration: model returned no text"
                 except Exception as e:  # noqa: BLE001 - a failed row must not fail the task
@@ -88,13 +92,17 @@ def translate(df: DataFrame, spec: Spec, per_minute: float = 0, tries: int = 4,
             yield pd.DataFrame(out, columns=["id", "system", "uz_text", "latency_ms", "error"])
 
     rows = df.select("id", "en_text", "context_prev")
-    rows = rows.coalesce(1) if per_minute else rows
+    # a shuffle, so that what comes before stays parallel
+    rows = rows.repartition(1) if per_minute else rows
     return rows.mapInPandas(run, "id string, system string, uz_text string, latency_ms long, error string")
 
 
 def translate_sentences(df: DataFrame, id_col: str, text: str, batch: Callable[[list[str]], list[str]], target: str = "uz", cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, new cache rows) of texts translated sentence by sentence.
 
+    Answers are (id, uz_text, n_dropped, has_cyrillic): how many entities the finished text lost and
+    whether Cyrillic letters are left in it.
+
     Entities are masked, sentences made distinct, those in the cache left out, the rest sorted by
     length inside each task and translated in batches; then every text is put together again, its
     apostrophes made canonical and its entities restored.
@@ -116,7 +124,9 @@ def translate_sentences(df: DataFrame, id_col: str, text: str, batch: Callable[[
         F.first("entries").alias("entries"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), " ").alias("raw")
     )
     whole = tx.strip(unmask(tx.normalize_apostrophes(F.col("raw")), F.col("entries")))
-    return joined.select(id_col, whole.alias("uz_text")), fresh
+    done = joined.select(id_col, whole.alias("uz_text"), "entries")
+    lost = F.size(unrestored(F.col("uz_text"), F.col("entries"))).alias("n_dropped")
+    return done.select(id_col, "uz_text", lost, F.rlike("uz_text", F.lit("[Ѐ-ӿ]")).alias("has_cyrillic")), fresh
 
 
 def score(chunks: DataFrame, predict: Callable[[list[dict]], list[float]], keys: list[str]) -> DataFrame:
@@ -136,10 +146,10 @@ def score(chunks: DataFrame, predict: Callable[[list[dict]], list[float]], keys:
     return scored.groupBy(*keys).agg((F.sum(F.col("score") * F.col("w")) / F.sum("w")).alias("score"), F.count("*").alias("n_chunks"))
 
 
-def judge(df: DataFrame, ask: Callable[[str], str], runs: int = 3, tries: int = 4) -> DataFrame:
+def judge(df: DataFrame, ask: Callable[[str], str], runs: int = 3, tries: int = 4, rubric: str = tx.JUDGE_RUBRIC) -> DataFrame:
     """(id, system, mqm, mqm_std, mqm_runs, adequacy, fluency, errors, runs, error) of rows id, system, en_text, uz_text, context_prev.
 
-    Every row is asked ``runs`` times; the errors kept are those of the harshest run. A row without
+    Every row is asked ``runs`` times; ``rubric`` goes before the task ("" if ``ask`` sends it itself). The errors kept are those of the harshest run. A row without
     any usable answer has null figures and an error.
     """
 
@@ -155,7 +165,8 @@ def judge(df: DataFrame, ask: Callable[[str], str], runs: int = 3, tries: int =
                     errors.append(f"{type(e).__name__}: {str(e)[:300]}")
             yield pdf[["id", "system", "run"]].assign(answer=answers, error=errors)
 
-    prompt = tx.judge_prompt(F.col("en_text"), F.col("uz_text"), F.col("context_prev")).alias("prompt")
+    task = tx.judge_prompt(F.col("en_text"), F.col("uz_text"), F.col("context_prev"))
+    prompt = (F.concat(F.lit(rubric + "\n\n"), task) if rubric else task).alias("prompt")
     asked = df.select("id", "system", prompt, F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
     got = asked.repartition("id", "system", "run").mapInPandas(call, "id string, system string, run int, answer string, error string")
     a = got.withColumn("a", parse_answer(F.col("answer"))).withColumn("ok", F.col("a.errors").isNotNull())

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from mezon.functions.text import normalize_apostrophes, strip
 
@@ -42,11 +44,26 @@ def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of text files, lines numbered from 0 in each file.
+
+    A scan reads each split of a file in order, so a line's place in its split is its row id less the
+    split's first; splits are few and their line counts are summed up before them.
+    """
+    ids = F.monotonically_increasing_id().alias("__id")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), ids, "value")
+    splits = rows.groupBy("file", "__at").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(splits.select("file", "__at", "__first", before.alias("__before")), ["file", "__at"]).select("file", (F.col("__before") + F.col("__id") - F.col("__first")).alias("line_no"), "value")
+
+
 def read_reported(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, malformed lines) of JSON lines."""
+    """(good rows, malformed lines as file, line_no from 1, line) of JSON lines; blank lines are neither."""
     full = T._parse_datatype_string(schema).add(_BAD, "string")
-    parsed = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("x"))
-    return parsed.where(f"x.{_BAD} IS NULL").select("x.*").drop(_BAD), parsed.where(f"x.{_BAD} IS NOT NULL").select(F.col("value").alias("line"))
+    parse = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("x")
+    good = spark.read.text(path).where(F.trim("value") != "").select(parse).where(f"x.{_BAD} IS NULL").select("x.*").drop(_BAD)
+    bad = numbered_lines(spark, path).where(F.trim("value") != "").select("file", "line_no", "value", parse).where(f"x.{_BAD} IS NOT NULL")
+    return good, bad.select("file", (F.col("line_no") + 1).alias("line_no"), F.col("value").alias("line"))
 
 
 def read_systems(spark: SparkSession, directory: str, schema: str) -> DataFrame:
@@ -57,13 +74,8 @@ def read_systems(spark: SparkSession, directory: str, schema: str) -> DataFrame:
 
 
 def read_ordinal(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of one file with ``dialogue_idx``, the line's number from 0.
-
-    Line numbers need file order: positions inside a file come from byte ranges, counted per
-    partition and offset by the counts of earlier ones.
-    """
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return lines.toDF("dialogue_idx long, value string").select("dialogue_idx", F.from_json("value", schema).alias("x")).select("dialogue_idx", "x.*")
+    """JSON lines of one file with ``dialogue_idx``, the line's number from 0."""
+    return numbered_lines(spark, path).select(F.col("line_no").alias("dialogue_idx"), F.from_json("value", schema).alias("x")).select("dialogue_idx", "x.*")
 
 
 def _clean_pairs(df: DataFrame, name: str, domain: str) -> DataFrame:
@@ -75,13 +87,16 @@ def _clean_pairs(df: DataFrame, name: str, domain: str) -> DataFrame:
 
 
 def read_parallel(spark: SparkSession, en_path: str, uz_path: str, name: str, domain: str = "news", limit: int | None = None) -> DataFrame:
-    """Two text files zipped by line; the longer one is cut."""
+    """Two text files zipped by line; the longer one is cut, with a warning."""
 
     def lines(path: str, side: str) -> DataFrame:
-        text = F.regexp_replace("value", "\\r?\\n$", "")
-        return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(text, "\\r?\\n")).alias("pos", side))
+        return numbered_lines(spark, path).select(F.col("line_no").alias("pos"), F.col("value").alias(side))
 
-    out = _clean_pairs(lines(en_path, "en").join(lines(uz_path, "uz"), "pos"), name, domain)
+    en, uz = lines(en_path, "en"), lines(uz_path, "uz")
+    n, m = en.count(), uz.count()
+    if n != m:
+        warnings.warn(f"{name}: {n} and {m} lines; the longer file is cut", stacklevel=2)
+    out = _clean_pairs(en.join(uz, "pos"), name, domain)
     return out.orderBy("id").limit(limit) if limit else out
 
 
@@ -90,6 +105,35 @@ def read_pairs(rows: DataFrame, name: str, en: str = "translation.en", uz: str =
     return _clean_pairs(rows.select(F.col(position).alias("pos"), F.col(en).alias("en"), F.col(uz).alias("uz")), name, domain)
 
 
+def first_that_works(*makes: Callable[[], DataFrame]) -> DataFrame:
+    """The first table that can be made; the last failure if none can. Earlier failures give a warning."""
+    for n, make in enumerate(makes, 1):
+        try:
+            return make()
+        except Exception as e:  # noqa: BLE001 - the next source is the answer to any failure
+            if n == len(makes):
+                raise
+            warnings.warn(f"source {n} failed, trying the next: {str(e)[:80]}", stacklevel=2)
+    raise ValueError("no source given")
+
+
+def read_flores(load: Callable[[str], DataFrame], limit: int | None = None) -> DataFrame:
+    """The paired configuration, else two single languages zipped by position; ``load(config)`` gives rows with ``pos``."""
+
+    def zipped() -> DataFrame:
+        side = lambda config, to: load(config).select("pos", F.col("sentence").alias(to))
+        return read_pairs(side("eng_Latn", "en").join(side("uzn_Latn", "uz"), "pos"), "flores", "en", "uz", domain="wiki")
+
+    out = first_that_works(lambda: read_pairs(load("eng_Latn-uzn_Latn"), "flores", "sentence_eng_Latn", "sentence_uzn_Latn", domain="wiki"), zipped)
+    return out.orderBy("id").limit(limit) if limit else out
+
+
+def read_xwmt(load: Callable[[str], DataFrame], limit: int | None = None) -> DataFrame:
+    """Nested pairs of one configuration, else of the reversed one."""
+    out = first_that_works(*(lambda c=c: read_pairs(load(c), "xwmt", domain="talks_news") for c in ("en-uz", "uz-en")))
+    return out.orderBy("id").limit(limit) if limit else out
+
+
 def read_all(sources: dict[str, Callable[[], DataFrame]], only: list[str] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """(tables, errors) by name; a source that fails does not stop the others."""
     done, failed = {}, {}

@@ -16,7 +16,7 @@ def test_json_sources(spark, tmp_path):
     assert readers.read_tolerant(spark, str(p), schema).count() == 2
     assert readers.read_tolerant(spark, str(tmp_path / "none.jsonl"), schema).count() == 0
     good, bad = readers.read_reported(spark, str(p), schema)
-    assert good.count() == 2 and [r[0] for r in bad.collect()] == ["broken"]
+    assert good.count() == 2 and [(r["line_no"], r["line"]) for r in bad.collect()] == [(2, "broken")]
     with pytest.raises(Exception):
         readers.read_strict(spark, str(p), schema).collect()
     assert {r["system"] for r in readers.read_systems(spark, str(tmp_path), "id string, system string, uz_text string").collect()} == {"nllb-1.3b"}
@@ -25,7 +25,8 @@ def test_json_sources(spark, tmp_path):
 def test_parallel_and_ordinal(spark, tmp_path):
     (tmp_path / "en").write_text("One\n\nThree\nFour\n")
     (tmp_path / "uz").write_text("Bir\nIkki\nO'ch")
-    got = readers.read_parallel(spark, str(tmp_path / "en"), str(tmp_path / "uz"), "ntrex").orderBy("id").collect()
+    with pytest.warns(UserWarning, match="4 and 3 lines"):
+        got = readers.read_parallel(spark, str(tmp_path / "en"), str(tmp_path / "uz"), "ntrex").orderBy("id").collect()
     assert [(r["id"], r["uz_text"]) for r in got] == [("ntrex-00000", "Bir"), ("ntrex-00002", "Oʻch")]
     (tmp_path / "c.jsonl").write_text("".join(json.dumps({"source": f"s{i}", "messages": []}) + "\n" for i in range(3)))
     rows = readers.read_ordinal(spark, str(tmp_path / "c.jsonl"), readers.SCHEMAS["corpus"]).collect()
@@ -34,6 +35,41 @@ def test_parallel_and_ordinal(spark, tmp_path):
     assert done == {"a": 1} and "ZeroDivisionError" in failed["b"]
 
 
+def test_line_numbers_over_splits(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / name).write_text("".join(f"{name}{i:05d}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["line_no"], r["value"]) for r in got) == sorted((i, f"{n}{i:05d}") for i in range(3000) for n in "ab")
+
+
+def test_source_fallbacks(spark):
+    single = {"eng_Latn": [(0, "One"), (1, "")], "uzn_Latn": [(0, "Bir"), (1, "Ikki")]}
+
+    def load(config):
+        if config not in single:
+            raise ValueError("no such configuration")
+        return spark.createDataFrame(single[config], "pos long, sentence string")
+
+    with pytest.warns(UserWarning, match="no such configuration"):
+        assert [r["id"] for r in readers.read_flores(load).collect()] == ["flores-00000"]
+    nested = spark.createDataFrame([(3, ("One", "Bir"))], "pos long, translation struct<en:string,uz:string>")
+
+    def reversed_only(config):
+        if config != "uz-en":
+            raise ValueError("no")
+        return nested
+
+    with pytest.warns(UserWarning):
+        assert [(r["id"], r["domain"]) for r in readers.read_xwmt(reversed_only, limit=5).collect()] == [("xwmt-00003", "talks_news")]
+    with pytest.raises(ValueError), pytest.warns(UserWarning):
+        readers.read_xwmt(lambda c: load("x"))
+
+
 def test_markdown_and_settings(spark, tmp_path, monkeypatch):
     (tmp_path / "b.md").write_text("# T\n## Board\n| system | n |\n|---|---|\n| tilmoch | 3 |\n| other | 4 |\n## Next\n| tilmoch | 9 |\n")
     got = readers.read_markdown_table(spark, str(tmp_path / "b.md"), "## Board", ["tilmoch"], cells=2).collect()
@@ -77,6 +113,8 @@ def test_translate(spark):
     registry.register("tilmoch", lambda spec: fake())
     probe = calls.preflight([s for s in registry.SPECS if s.kind in ("tilmoch", "gemini")])
     assert [p["ok"] for p in probe] == [False, True]
+    limited = calls.translate(df, registry.SPECS[0], per_minute=6e5, tries=1, factory=lambda spec: model)
+    assert limited.count() == 3
     assert len(registry.resolve(None, heavy=False)) == 7
     with pytest.raises(ValueError):
         registry.resolve("nobody")
@@ -106,7 +144,9 @@ def test_sentences_with_cache(spark):
     df = spark.createDataFrame([("1", "Hello there. Call 12345!"), ("2", "Hello there."), ("3", "")], "id string, t string")
     got, fresh = calls.translate_sentences(df, "id", "t", lambda b: ["«" + s + "»" for s in b])
     assert {r["id"]: r["uz_text"] for r in got.collect()} == {"1": "«Hello there.» «Call 12345!»", "2": "«Hello there.»", "3": ""}
-    assert fresh.count() == 2
+    assert fresh.count() == 2 and {r["id"]: (r["n_dropped"], r["has_cyrillic"]) for r in got.collect()}["1"] == (0, False)
+    lost, _ = calls.translate_sentences(df, "id", "t", lambda b: ["Салом." for s in b])
+    assert {r["id"]: (r["n_dropped"], r["has_cyrillic"]) for r in lost.collect()} == {"1": (1, True), "2": (0, True), "3": (0, False)}
     _, again = calls.translate_sentences(df, "id", "t", lambda b: ["«" + s + "»" for s in b], cache=fresh)
     assert again.count() == 0
 
@@ -118,7 +158,7 @@ def test_score_and_judge(spark):
     rows = spark.createDataFrame([("1", "s", "en", "uz", None), ("2", "s", "fail", "uz", None)], "id string, system string, en_text string, uz_text string, context_prev string")
 
     def ask(prompt):
-        if "fail" in prompt:
+        if "wrong-script" not in prompt or "fail" in prompt:
             raise ValueError("down")
         return '{"errors":[{"category":"x","severity":"major","span":"uz"}],"adequacy":4,"fluency":5}'
 
@@ -127,6 +167,106 @@ def test_score_and_judge(spark):
     assert got["2"]["mqm"] is None and "down" in got["2"]["error"]
 
 
+def test_adapters_with_stand_ins(monkeypatch):
+    import contextlib
+    import sys
+    import types
+
+    from mezon.models import adapters
+
+    assert adapters.finish("<think>x\ny</think> O'zbek ma'no ") == "Oʻzbek maʼno" and adapters.finish(None) == ""
+    seen = []
+
+    class Batch(dict):
+        def to(self, device):
+            return self
+
+    class Ids(list):
+        shape = (1, 2)
+
+    class Tokens:
+        eos_token_id = 0
+
+        @classmethod
+        def from_pretrained(cls, name, **kw):
+            return cls()
+
+        def convert_tokens_to_ids(self, name):
+            return name
+
+        def __call__(self, texts, **kw):
+            return Batch(input_ids=Ids(), texts=texts)
+
+        def batch_decode(self, out, **kw):
+            return out
+
+        def decode(self, out, **kw):
+            return "<think>hm</think>Salom o'g'il"
+
+        def apply_chat_template(self, message, tokenize, add_generation_prompt, **kw):
+            if kw:
+                raise TypeError
+            return message[0]["content"]
+
+    class Model:
+        device = "cpu"
+
+        @classmethod
+        def from_pretrained(cls, name, **kw):
+            return cls()
+
+        def to(self, device):
+            return self
+
+        def eval(self):
+            return self
+
+        def generate(self, texts, **kw):
+            seen.append((texts, kw.get("forced_bos_token_id")))
+            return [f"«{t}»" for t in texts] if isinstance(texts, list) else [[1, 2, 3]]
+
+    torch = types.SimpleNamespace(cuda=types.SimpleNamespace(is_available=lambda: False), inference_mode=contextlib.nullcontext, bfloat16=None)
+    monkeypatch.setitem(sys.modules, "torch", torch)
+    monkeypatch.setitem(sys.modules, "transformers", types.SimpleNamespace(AutoTokenizer=Tokens, AutoModelForSeq2SeqLM=Model, AutoModelForCausalLM=Model))
+    Model.generate = lambda self, **kw: (seen.append(kw), [f"«{t}»" for t in kw["texts"]] if isinstance(kw["texts"], list) else [[1, 2, 3]])[1]
+    assert adapters.nllb()(registry.SPECS[0]).translate("B two. A. B two.", "c") == "«B two.» «A.» «B two.»"
+    assert seen[0]["forced_bos_token_id"] == "uzn_Latn" and seen[0]["texts"] == ["A.", "B two."]
+    assert adapters.local_chat()(registry.SPECS[8]).translate("Hello", "before") == "Salom oʻgʻil" and "before" in seen[-1]["texts"]
+
+    class Client:
+        def __init__(self, api_key):
+            self.models = types.SimpleNamespace(generate_content=lambda model, contents, config: types.SimpleNamespace(text=f" {model}|{api_key}|{config}"))
+
+    kinds = types.SimpleNamespace(GenerateContentConfig=lambda **kw: kw["temperature"], ThinkingConfig=lambda **kw: kw)
+    genai = types.SimpleNamespace(Client=Client, types=kinds)
+    for name, module in (("google", types.SimpleNamespace(genai=genai)), ("google.genai", genai), ("google.genai.types", kinds)):
+        monkeypatch.setitem(sys.modules, name, module)
+    assert adapters.gemini("k")(registry.SPECS[7]).translate("Hello") == "gemini-3.5-flash|k|0"
+    monkeypatch.setattr(registry, "_FACTORIES", {})
+    adapters.register_all(cloud_url="http://x", paid_url="http://y")
+    assert set(registry._FACTORIES) == {s.kind for s in registry.SPECS}
+
+
+def test_judge_answers_in_any_wrapping(spark):
+    from mezon.functions.judge import parse_answer
+
+    good = '{"errors":[{"category":"x","severity":"minor","span":"y"}],"adequacy":3,"fluency":2}'
+    texts = [good, "```json\n" + good + "\n```", "Sure: " + good + " done", "nothing", None, '{"adequacy": 5}', "{broken " + good]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parse_answer(F.col("t")).alias("a"))
+    got = {r["i"]: (r["a"] and (r["a"]["errors"] and len(r["a"]["errors"]), r["a"]["adequacy"])) for r in df.collect()}
+    assert [got[i] for i in (0, 1, 2, 6)] == [(1, 3)] * 4 and got[5] == (None, 5) and not any(got[3] or ()) and not any(got[4] or ())
+
+
+def test_leak_detector(spark):
+    from mezon.functions.gates import detector_of, gates, lingua_detector
+
+    df = spark.createDataFrame([("EN text",), ("Uzbek",), ("",), (None,)], "t string")
+    leak = detector_of(lambda t: "ENGLISH" if t.startswith("EN") else None)
+    flags = gates(F.lit("x"), F.col("t"), F.array().cast("array<string>"), leak)
+    assert [r[0] for r in df.select(flags["english_leak"]).collect()] == [True, False, False, False]
+    assert lingua_detector() is None or callable(lingua_detector())
+
+
 def test_leaderboard(spark):
     rows = [(s, str(i), b + i / 1000) for s, b in (("nllb-1.3b", 0.5), ("tilmoch", 0.6), ("gemma4-12b", 0.4)) for i in range(40)]
     s = spark.createDataFrame(rows, "system string, id string, score double")
