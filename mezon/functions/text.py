@@ -62,6 +62,11 @@ def sentences(c: Column, line_breaks: bool = True) -> Column:
     return F.when(F.size(parts) > 0, parts).when(c.isNotNull(), F.array(c))
 
 
+def category_or_domain(category: Column, domain: Column) -> Column:
+    """The category, else the domain, else 'all'."""
+    return F.coalesce(category, domain, F.lit("all"))
+
+
 def strip_reasoning(c: Column) -> Column:
     """Without <think> blocks, whatever their case and length."""
     return F.regexp_replace(c, "(?is)<think>.*?</think>", "")

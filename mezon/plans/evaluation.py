@@ -782,3 +782,170 @@ def clean_references(spark, d):
     r = read(spark, d, "refset").withColumn("uz", tx.strip(F.col("uz_text")))
     kept = r.where((tx.strip(F.col("en_text")) != "") & (F.col("uz") != ""))
     return kept.select("id", "set_name", F.coalesce("domain", F.lit("all")).alias("category"), "en_text", tx.normalize_apostrophes(F.col("uz")).alias("uz_text"))
+
+
+# --- further functions, sources and sinks over whole tables ---------------------------------------------
+
+
+@query("SELECT DISTINCT id, coalesce(category, domain, 'all') AS category FROM benchmark")
+def default_categories(spark, d):
+    return read(spark, d, "benchmark").select("id", tx.category_or_domain(F.col("category"), F.col("domain")).alias("category")).distinct()
+
+
+@query(S_LATEST + """, m AS (SELECT run_id, system, id, arg_max(coalesce(uz_text, ''), ord) AS uz_text FROM cand GROUP BY ALL)
+SELECT m.run_id, m.system, m.id, array_to_string(list_filter(b.preserve, lambda e: NOT contains(m.uz_text, e)), '|') AS missing FROM m JOIN bench b USING (id)
+WHERE len(list_filter(b.preserve, lambda e: NOT contains(m.uz_text, e))) > 0""")
+def missing_entities(spark, d):
+    """Every last answer that lost entities, with those it lost."""
+    last = dedupe.last_row(answers(spark, d).select("run_id", "system", "id", "ord", "uz_text"), ["run_id", "system", "id"], "ord")
+    both = last.join(bench(spark, d).where(F.size("preserve") > 0).select("id", "preserve"), "id")
+    lost = F.filter("preserve", lambda e: ~F.contains(F.coalesce("uz_text", F.lit("")), e))
+    return both.withColumn("m", lost).where(F.size("m") > 0).select("run_id", "system", "id", F.array_join("m", "|").alias("missing"))
+
+
+_S_JUDGE = tx._JUDGE.replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+@query(f"""SELECT DISTINCT r.id, CASE WHEN coalesce(b.context_prev, '') <> '' THEN 'Dialogue context (previous turn, background only):' || chr(10) || b.context_prev || chr(10) || chr(10) ELSE '' END
+ || 'English source:' || chr(10) || r.en_text || chr(10) || chr(10) || 'Uzbek candidate:' || chr(10) || r.uz_text || '{_S_JUDGE}' AS prompt FROM refset r LEFT JOIN benchmark b USING (id) WHERE r.uz_text IS NOT NULL""")
+def judge_prompts(spark, d):
+    context = read(spark, d, "benchmark").select("id", "context_prev")
+    r = read(spark, d, "refset").where("uz_text IS NOT NULL").join(context, "id", "left")
+    return r.select("id", tx.judge_prompt(F.col("en_text"), F.col("uz_text"), F.col("context_prev")).alias("prompt")).distinct()
+
+
+@query("SELECT ord, regexp_replace('<think>' || coalesce(error, '') || chr(10) || '</THINK>' || uz_text, '(?is)<think>.*?</think>', '', 'g') AS uz_text FROM candidate WHERE uz_text IS NOT NULL")
+def reasoning_stripped(spark, d):
+    """Reasoning in front of an answer taken out again (the delivery's error stands for it)."""
+    raw = F.concat(F.lit("<think>"), F.coalesce("error", F.lit("")), F.lit("\n</THINK>"), "uz_text")
+    return read(spark, d, "candidate").where("uz_text IS NOT NULL").select("ord", tx.strip_reasoning(raw).alias("uz_text"))
+
+
+@query("SELECT ord, replace(replace(replace(replace(replace(uz_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') AS html FROM candidate WHERE uz_text IS NOT NULL")
+def html_escaped(spark, d):
+    return read(spark, d, "candidate").where("uz_text IS NOT NULL").select("ord", tx.html_escape(F.col("uz_text")).alias("html"))
+
+
+@query("""SELECT system, printf('%.2f', avg(latency_ms)) AS mean_latency, CASE WHEN s < 3600 THEN printf('%d:%02d', s // 60, s % 60) ELSE printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) END AS spent
+FROM (SELECT system, latency_ms, sum(latency_ms) OVER (PARTITION BY system)::BIGINT // 1000 AS s FROM candidate) GROUP BY system, s""")
+def latency_report(spark, d):
+    """Mean latency and the time all answers of a system took, as a report writes them."""
+    c = read(spark, d, "candidate").groupBy("system").agg(F.avg("latency_ms").alias("m"), F.sum("latency_ms").alias("s"))
+    return c.select("system", tx.fmt(F.col("m"), 2).alias("mean_latency"), tx.fmt_duration(F.col("s") / 1000).alias("spent"))
+
+
+@query(S_PAIRED + _s_samples("paired", "system", "diff", "id") + """, tot AS (SELECT system, count(*) AS n, sum(diff) AS total FROM paired GROUP BY ALL), pv AS (SELECT system, round(avg((m <= 0)::INT), 4) AS p FROM means GROUP BY ALL),
+r AS (SELECT system, CASE WHEN n < 2 THEN NULL WHEN total <= 0 THEN 1.0 ELSE p END::DOUBLE AS p FROM tot LEFT JOIN pv USING (system))
+SELECT system, CASE WHEN p IS NULL THEN '—' WHEN p < 0.05 THEN p::VARCHAR || '*' ELSE p::VARCHAR END AS label FROM r""")
+def significance_labels(spark, d):
+    p = stats.paired_p(relational.paired(scores(spark, d), BASELINE), ["system"])
+    return p.select("system", stats.label(F.col("p")).alias("label"))
+
+
+@query(S_GATES + f""", x AS (SELECT run_id, {S_SEG} AS id, system, max(score) AS score FROM xcomet_qe WHERE score IS NOT NULL GROUP BY ALL)
+SELECT system, CASE WHEN count(*) >= 30 THEN round(covar_pop(score, len_ratio) / nullif(stddev_pop(score) * stddev_pop(len_ratio), 0), 4) END AS r, count(*) AS n FROM x JOIN g USING (run_id, system, id) GROUP BY system""")
+def message_correlation(spark, d):
+    """Correlation of a message's score with its length ratio, a figure of the same message; null below 30 points."""
+    both = QUERIES["last_score"](spark, d).join(gated(spark, d).select("run_id", "system", "id", "len_ratio"), ["run_id", "system", "id"])
+    return both.groupBy("system").agg(F.when(F.count("*") >= 30, stats.pearson(F.col("score"), F.col("len_ratio"))).alias("r"), F.count("*").alias("n"))
+
+
+@query(f"SELECT DISTINCT system FROM xcomet_qe WHERE system IN ({', '.join(repr(x) for x in SYSTEMS if not x.startswith(('nllb', 'neuronai')))})")
+def light_systems(spark, d):
+    """Scored systems that load no large model into a worker."""
+    from mezon.models.registry import resolve
+
+    light = [x.key for x in resolve("all", heavy=False)]
+    return relational.choose_systems(read(spark, d, "xcomet_qe"), ",".join(light), SYSTEMS).select("system").distinct()
+
+
+def _scratch(spark) -> str:
+    import uuid
+
+    from mezon.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark)}/query-{uuid.uuid4().hex}"
+
+
+_S_LINES = "SELECT ord, run_id, id, system, uz_text, latency_ms FROM candidate"
+_LINES = "ord long, run_id long, id string, system string, uz_text string, latency_ms long"
+
+
+@query(_S_LINES)
+def jsonl_round_trip(spark, d):
+    """Answers written as JSON lines and read strictly again."""
+    from mezon.sources import readers, sinks
+
+    out = _scratch(spark)
+    sinks.write_jsonl(read(spark, d, "candidate").select("ord", "run_id", "id", "system", "uz_text", "latency_ms"), out)
+    return readers.read_strict(spark, out, _LINES)
+
+
+def _with_bad_lines(spark, d) -> str:
+    """JSON lines of all answers, and for each run one line that is cut off."""
+    out = _scratch(spark)
+    rows = read(spark, d, "candidate").select("ord", "run_id", "id", "system", "uz_text", "latency_ms")
+    bad = rows.select("run_id").distinct().select(F.concat(F.lit('{"ord": '), F.col("run_id").cast("string"), F.lit(', "id": "cut')).alias("value"))
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).union(bad).write.text(out)
+    return out
+
+
+@query(_S_LINES)
+def tolerant_scan(spark, d):
+    from mezon.sources import readers
+
+    return readers.read_tolerant(spark, _with_bad_lines(spark, d), _LINES)
+
+
+@query("SELECT 'good' AS kind, count(*) AS n FROM candidate UNION ALL SELECT 'bad', count(DISTINCT run_id) FROM candidate")
+def reported_scan(spark, d):
+    from mezon.sources import readers
+
+    good, bad = readers.read_reported(spark, _with_bad_lines(spark, d), _LINES)
+    return good.agg(F.count("*").alias("n")).select(F.lit("good").alias("kind"), "n").union(bad.agg(F.count_if(F.col("line_no") >= 1).alias("n")).select(F.lit("bad"), "n"))
+
+
+@query("SELECT run_id, system, id, 0::BIGINT AS n_twice FROM candidate GROUP BY ALL")
+def resumed_append(spark, d):
+    """Keys in a file after the same rows were appended twice, with how often they stand in it too much."""
+    from mezon.sources import sinks
+
+    out, keys = _scratch(spark), ["run_id", "system", "id"]
+    rows = read(spark, d, "candidate").groupBy(*keys).agg(F.max("ord").alias("ord"))
+    for _ in range(2):
+        sinks.append_new(rows, out, keys)
+    return spark.read.schema(rows.schema).json(out).groupBy(*keys).agg((F.count("*") - 1).alias("n_twice"))
+
+
+@query("SELECT DISTINCT sha1('uz|' || en_text) AS key, en_text AS text FROM benchmark WHERE en_text IS NOT NULL")
+def cache_round_trip(spark, d):
+    """A translation cache written and loaded (the source stands for its translation)."""
+    from mezon.sources import sinks
+
+    out = _scratch(spark)
+    rows = read(spark, d, "benchmark").where("en_text IS NOT NULL")
+    sinks.flush_cache(rows.select(tx.cache_key("uz", F.col("en_text")).alias("key"), F.col("en_text").alias("text")), out)
+    return sinks.load_cache(spark, out).select("key", "text")
+
+
+@query(f"SELECT 'xwmt-' || printf('%05d', pos) AS id, en_text FROM (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, {s_strip('en_text')} AS en_text, {s_strip('uz_text')} AS uz_text FROM refset) WHERE en_text <> '' AND uz_text <> ''")
+def pair_source(spark, d):
+    """Reference pairs through the reader of nested pairs."""
+    from mezon.sources import readers
+
+    r = read(spark, d, "refset")  # a fixed table of evaluation items: one task numbers it
+    pos = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")) - 1).alias("pos")
+    nested = r.select(pos, F.struct(F.col("en_text").alias("en"), F.col("uz_text").alias("uz")).alias("translation"))
+    return readers.read_xwmt(lambda config: nested).select("id", "en_text")
+
+
+@query("SELECT system, count(DISTINCT (run_id, id)) AS n FROM candidate GROUP BY system")
+def stream_first_copies(spark, d):
+    """Deliveries streamed through watermarked deduplication, counted by system; the delay covers the table."""
+    from mezon.streaming import gates_stream as gs
+
+    out = _scratch(spark)
+    source = gs.answer_stream(spark, f"{d}/candidate.parquet*", read(spark, d, "candidate").schema)
+    once = gs.first_copies(source.select("run_id", "system", "id", "received_at"), "received_at", ["run_id", "system", "id"], "3650 days")
+    gs.append_to(once, f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy("system").agg(F.count("*").alias("n"))
