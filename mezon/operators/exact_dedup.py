@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from mezon.session import cut
 
@@ -213,8 +214,11 @@ def kept_deliveries(df: DataFrame, keys: list[Column], order: str, text: str, sh
     Kept is the last delivery by ``order`` whose ``text`` has content, else the first. Rows whose
     ``order`` is null cannot be told apart and are left out; null key parts equal each other and
     differ from the empty string. Repeated rows with the same ``order`` are one delivery. An empty
-    table gives no rows. ``shard_rows`` bounds the entries merged in one table.
+    table gives no rows. ``order`` must be a whole number: a cast could drop rows or join them.
+    ``shard_rows`` bounds the entries merged in one table.
     """
+    if not isinstance(df.schema[order].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{order} is {df.schema[order].dataType.simpleString()}; the order of arrival must be a whole number")
     # length-prefixed parts: no two different key tuples give the same bytes
     parts = [F.coalesce(F.concat(F.octet_length(k.cast("string")).cast("string"), F.lit(":"), k.cast("string")), F.lit("-")) for k in keys]
     slim = df.where(F.col(order).isNotNull()).select(

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from mezon.operators.exact_dedup import QuotientTable, fixed_width, keep_once, permute, repeated_deliveries, segment_id
@@ -59,3 +60,9 @@ def test_no_false_matches():
         t.insert(p[::2], np.arange(len(p))[::2], np.ones(len(p), bool)[::2], np.arange(len(p))[::2])
         t.settle()
         assert all(t.find(x) >= 0 for x in p[::2]) and all(t.find(x) < 0 for x in p[1::2])
+
+
+def test_order_must_be_a_whole_number(spark):
+    df = spark.createDataFrame([("a", "x", 1.5), ("a", "y", 1.6)], "id string, t string, ord double")
+    with pytest.raises(TypeError, match="whole number"):
+        repeated_deliveries(df, [F.col("id")], "ord", "t")
