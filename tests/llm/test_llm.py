@@ -536,3 +536,19 @@ def test_queries_have_the_asked_columns(spark):
     for name, cols in want.items():
         df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert df.columns == cols and df.limit(1).count() >= 0
+
+
+# --- SQL ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_agrees_with_sql(spark, name):
+    import duckdb
+
+    small, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("candidate", "benchmark", "documents", "refset"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    df, r = queries.QUERIES[name](spark, small), c.execute(queries.ORACLE[name])
+    cols = sorted(x[0] for x in r.description)
+    assert sorted(df.columns) == cols
+    assert sorted(map(repr, (tuple(x) for x in df.select(*cols).collect()))) == sorted(map(repr, r.df()[cols].itertuples(index=False, name=None)))
