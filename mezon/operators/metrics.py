@@ -31,6 +31,20 @@ def chrf_tokens(text: str) -> list[str]:
     return out
 
 
+def sentencepiece(model_file: str) -> Callable[[str], list[str]]:
+    """A tokenizer for ``bleu`` from a SentencePiece model, readable on every executor; loaded once per worker."""
+    loaded: list = []
+
+    def pieces(text: str) -> list[str]:
+        if not loaded:
+            from sentencepiece import SentencePieceProcessor
+
+            loaded.append(SentencePieceProcessor(model_file=model_file))
+        return loaded[0].encode(text.strip(), out_type=str)
+
+    return pieces
+
+
 def _orders(seq, most: int) -> list[Counter]:
     if isinstance(seq, str):
         return [Counter(seq[i : i + n] for i in range(len(seq) - n + 1)) for n in range(1, most + 1)]

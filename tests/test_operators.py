@@ -124,6 +124,13 @@ def test_metrics_of_odd_texts(spark):
     assert metrics.chrf_pp(df.limit(0), ["system"], "hyp", "ref").count() == 0
 
 
+def test_bleu_over_pieces(spark):
+    model = "/opt/tokenizers/piece_bpe_32k.model"
+    df = spark.createDataFrame([("s", "bir ikki uchinchi narsa", "bir ikki uchinchi narsalar")], "system string, hyp string, ref string")
+    by_words, by_pieces = (metrics.bleu(df, ["system"], "hyp", "ref", *t).first()["bleu"] for t in ((), (metrics.sentencepiece(model),)))
+    assert 0 < by_words < by_pieces < 100
+
+
 def test_chrf_and_bleu(spark):
     rng = random.Random(6)
     words = "bir ikki uch tort besh olti".split()

@@ -94,6 +94,24 @@ def test_sinks(spark, tmp_path):
     assert sinks.load_cache(spark, cache).count() == 1 and sinks.load_cache(spark, str(tmp_path / "no")).count() == 0
 
 
+def test_append_in_parts(spark, tmp_path):
+    df, said, asked = spark.range(50).selectExpr("cast(id AS string) AS id"), [], spark.sparkContext.accumulator(0)
+
+    def run(part):
+        def call(batches):
+            for b in batches:
+                asked.add(b.num_rows)
+                yield b
+
+        return part.mapInArrow(call, "id string").withColumn("t", F.lit("x"))
+
+    out = str(tmp_path / "o")
+    assert sinks.append_in_parts(df.where("id < 20"), run, out, ["id"], parts=3, report=said.append) == 20
+    assert sinks.append_in_parts(df, run, out, ["id"], parts=3, report=said.append) == 30
+    assert spark.read.json(out).count() == 50 and asked.value == 50 and said[2].startswith("3/3 parts, 20 rows") and said[2].endswith("0:00 to go")
+    assert [sinks.eta(x) for x in (59.9, 3600, -1, float("nan"), float("inf"))] == ["0:59", "1:00:00", "--:--", "--:--", "--:--"]
+
+
 def fake():
     class Fake:  # local, so that it travels to the workers by value
         def translate(self, text, context=None):
