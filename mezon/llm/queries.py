@@ -188,7 +188,7 @@ SELECT DISTINCT id FROM benchmark
 WHERE len(list_filter(regexp_split_to_array(en_text, '{_SPACE}'), lambda w: w <> '')) > 80""",
     "p5_pieces": f"""
 WITH RECURSIVE x AS {_S_ENDS},
-cut AS (SELECT row_number() OVER () AS r, * FROM x),
+cut AS (SELECT row_number() OVER (ORDER BY id, t) AS r, * FROM x),
 p AS (SELECT r, 1 AS no, 0 AS a, CASE WHEN len(w) <= 80 THEN len(w) ELSE coalesce(list_max(list_filter(ends, lambda e: e <= 80 AND e > 12)), 80) END AS b FROM cut
   UNION ALL SELECT r, no + 1, b - 12, CASE WHEN len(w) - (b - 12) <= 80 THEN len(w) ELSE coalesce(list_max(list_filter(ends, lambda e: e <= b - 12 + 80 AND e > b)), b - 12 + 80) END
   FROM p JOIN cut USING (r) WHERE b < len(w))
