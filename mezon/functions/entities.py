@@ -38,7 +38,7 @@ def _matches(c: Column, pattern: str) -> Column:
 
 def spans(c: Column) -> Column:
     """Entity spans in order: earliest first, of several at one place the longest, none overlapping."""
-    every = F.array_sort(F.concat(*(_matches(c, p) for p in PATTERNS)))
+    every = F.sort_array(F.concat(*(_matches(c, p) for p in PATTERNS)))
     empty = F.array().cast("array<struct<start:int,neg_len:int,text:string>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -107,7 +107,7 @@ def unrestored(c: Column, entries: Column) -> Column:
 def preserve(c: Column) -> Column:
     """What must survive verbatim: entities but amounts, and placeholders; distinct and sorted."""
     opaque = F.filter(entities(c), lambda e: ~F.rlike(e, F.lit(f"(?U)^(?:{AMOUNT})$")))
-    return F.array_sort(F.array_union(opaque, placeholders(c)))
+    return F.sort_array(F.array_union(opaque, placeholders(c)))
 
 
 def edge(c: Column) -> Column:

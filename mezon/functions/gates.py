@@ -21,15 +21,15 @@ def english_leak(c: Column) -> Column:
 
 
 def degenerate(c: Column) -> Column:
-    """At least 8 words, and some run of three words occurs at least 4 times (sorted runs, so n log n)."""
+    """At least 8 words, and some run of three words occurs at least 4 times (sorted hashes of the runs, so n log n)."""
 
     def repeats(runs: Column) -> Column:
         ends = F.sequence(F.lit(0), F.greatest(F.size(runs) - LOOP_TIMES, F.lit(0)))
         return F.coalesce(F.exists(ends, lambda i: F.get(runs, i) == F.get(runs, i + LOOP_TIMES - 1)), F.lit(False))
 
     def loops(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
-        return F.when(F.size(w) < LOOP_WORDS, False).otherwise(let(F.array_sort(runs), repeats))
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
+        return F.when(F.size(w) < LOOP_WORDS, False).otherwise(let(F.sort_array(runs), repeats))
 
     return let(words(c), loops)
 

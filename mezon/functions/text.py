@@ -47,7 +47,7 @@ def normalize_apostrophes(c: Column) -> Column:
 
 def placeholders(c: Column) -> Column:
     """Distinct runs of six or more capitals standing alone, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit("(?U)\\b([A-Z]{6,})\\b"), F.lit(1))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(c, F.lit("(?U)\\b([A-Z]{6,})\\b"), F.lit(1))))
 
 
 def sentences(c: Column, line_breaks: bool = True) -> Column:
