@@ -35,15 +35,16 @@ BACKGROUND, PASSES = 8, 8
 RUN_WORDS, LONG, CLAUSE = 10, 36, 5
 #: At the start a word counts for a subject by what exceeds so many times its mean share under the other labels.
 EXCESS = 0.5
-#: A term whose share under a subject's label is less than so many times its mean share under the others says nothing for the subject.
-TELLING = 2.0
+#: A term whose count under a subject's label is less than so many times what is expected from the others,
+#: or not so many standard deviations above it, says nothing for the subject.
+TELLING, SIGMAS = 3.0, 4.0
 #: Pseudo-counts of the Dirichlet priors: topics of a labelled document, topics of any document, words of a topic.
 LABEL_PRIOR, PRIOR, WORD_PRIOR = 1.5, 0.3, 0.02
 #: A segment hardly ever belongs to a topic with certainty: so much of a wanted proportion is enough.
 WHOLE = 0.96
 #: Top terms of a topic that are inspected, how often a term must stand under a label to count, and the
-#: share of them that must tell the subject the topic is mapped to.
-TOP_TERMS, LEAST_SEEN, AGREEMENT = 40, 3, 0.45
+#: share of them that must tell the subject the topic is mapped to (less where the topic started from that subject).
+TOP_TERMS, LEAST_SEEN, AGREEMENT, OWN_AGREEMENT = 40, 3, 0.45, 0.2
 _CLAUSE_END = re.compile(r"[,;:—–]\s")
 
 
@@ -184,10 +185,16 @@ def start(labelled: np.ndarray, corpus: np.ndarray, background: int) -> np.ndarr
 
 
 def telling(labelled: np.ndarray) -> np.ndarray:
-    """Whether a word tells a subject: its share under the label is ``TELLING`` times its mean share under the others."""
-    share = labelled / labelled.sum(axis=0, keepdims=True).clip(1e-9)
-    others = (share.sum(axis=1, keepdims=True) - share) / max(labelled.shape[1] - 1, 1)
-    return (labelled >= LEAST_SEEN) & (share >= TELLING * others)
+    """Whether a word tells a subject.
+
+    Its count under the label must be ``TELLING`` times what its mean share under the others lets expect,
+    and exceed that by ``SIGMAS`` standard deviations: a courtesy that stands under one label somewhat
+    more often than under others does so by chance.
+    """
+    size = labelled.sum(axis=0, keepdims=True)
+    share = labelled / size.clip(1e-9)
+    expected = (share.sum(axis=1, keepdims=True) - share) / max(labelled.shape[1] - 1, 1) * size
+    return (labelled >= LEAST_SEEN) & (labelled >= TELLING * expected) & (labelled >= expected + SIGMAS * np.sqrt(expected.clip(0.5)))
 
 
 def inspected(logw: np.ndarray, labelled: np.ndarray, subject_of: np.ndarray) -> np.ndarray:
@@ -230,8 +237,9 @@ def fit(tokens: DataFrame, subjects: int, background: int = BACKGROUND, passes:
     subject_of = np.full(topics, -1)
     for t, top in enumerate(top_terms(counts, mean)):
         agree = tells[top].mean(axis=0)
-        if counts[:, t].sum() > 0 and agree.max(initial=0.0) >= AGREEMENT:
-            subject_of[t] = int(np.argmax(agree))
+        best = int(np.argmax(agree)) if subjects else -1
+        if counts[:, t].sum() > 0 and best >= 0 and agree[best] >= (OWN_AGREEMENT if best == t else AGREEMENT):
+            subject_of[t] = best
     return inspected(_log_words(counts, mean), by_label, subject_of), subject_of
 
 
