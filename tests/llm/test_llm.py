@@ -504,6 +504,16 @@ def test_subjects_on_held_out_labels(spark):
     assert subjects.classify(d, "k", "subject", names, lab.limit(0), "doc", "subject").count() == 0
 
 
+def test_telling_words_need_more_than_chance():
+    labelled = np.tile([6.0, 6.0, 6.0], (400, 1))
+    labelled[0] = [12, 6, 5]  # somewhat more often, as happens by chance
+    labelled[1] = [40, 1, 2]
+    labelled[2] = [2, 0, 0]
+    tells = subjects.telling(labelled)
+    assert tells[1].tolist() == [True, False, False] and not tells[0].any() and not tells[2:].any()
+    assert not subjects.telling(np.zeros((5, 3))).any() and subjects.telling(np.full((5, 1), 9.0)).all()
+
+
 def test_small_posteriors_are_summed():
     ints = pa.list_(pa.int32())
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([[3, 4, 3]], ints), pa.array([[2, 3]], ints), pa.array([[0]], ints)], names=["k", "words", "ends", "given"])
